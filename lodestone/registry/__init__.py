@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.registry import basics
+from lodestone.registry import basics, retrieval
 
-_FAMILIES = (basics,)
+_FAMILIES = (basics, retrieval)
 
 
 def queries():
