@@ -1,8 +1,9 @@
 """Source-aware chunking: one artifact row in, n chunk rows out, without a shuffle.
 
-Every strategy is an ``array<string>`` expression over one text column, so the
-whole step stays inside one projection; the only unit held together is a single
-artifact's own text.
+Every strategy is an ``array<string>`` SQL expression over one text column, so
+the whole step stays inside one projection; the only unit held together is a
+single artifact's own text.  The ``*_sql`` functions compose expression text
+(cheap to build and to analyse); the public ones return columns.
 """
 
 from __future__ import annotations
@@ -12,27 +13,31 @@ from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fv
 from lodestone.functions import ids
-from lodestone.functions.text import (
-    INLINE_WS,
-    WS,
-    col,
-    content_hash,
-    let,
-    lines,
-    paragraphs,
-    strip,
-    stripped_lines,
-    token_count,
-    unify_breaks,
-    words,
-)
-
-_STRINGS = "array<string>"
+from lodestone.functions.text import BREAK, SPACES, WS, content_hash, token_count
+
+_NONE = "CAST(array() AS array<string>)"
 _UNITS = "array<struct<u:string,n:int>>"
-_HEADING = rf"#{{1,6}}{INLINE_WS}+[^{WS}]"
+_HEADING = rf"#{{1,6}}[{WS}&&[^\n]]+[^{WS}]"
 _QUOTE_TAIL = "(?U)" + fv.QUOTE_TAIL.replace(r"\s", f"[{WS}]")
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """Bind ``value`` once under ``name`` inside ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _words(x: str) -> str:
+    return f"array_remove(split({x}, r'{SPACES}'), '')"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, r'(?U)\A[{WS}]+|[{WS}]+\z', '')"
+
+
+def _paragraphs(x: str) -> str:
+    return rf"filter(transform(split({x}, r'(?U)\n[{WS}]*\n'), p -> {_strip('p')}), p -> p <> '')"
+
+
 def check_window(max_tokens: int, overlap: int) -> None:
     if max_tokens <= 0:
         raise ValueError("max_tokens must be positive")
@@ -40,205 +45,174 @@ def check_window(max_tokens: int, overlap: int) -> None:
         raise ValueError("overlap must be in [0, max_tokens)")
 
 
-def fixed_window(text: Column | str, max_tokens=fv.MAX_TOKENS, overlap=fv.OVERLAP) -> Column:
+def fixed_window_sql(text: str, max_tokens: int, overlap: int) -> str:
     """Whole text when short, else windows of ``max_tokens`` words at a fixed step."""
     step = max_tokens - overlap
+    last = f"CAST(ceil((size(ws) - {max_tokens}) / {step}) AS int)"
+    windows = f"transform(sequence(0, {last}), i -> array_join(slice(ws, i * {step} + 1, {max_tokens}), ' '))"
+    return _let(_words(text), "ws", f"IF(size(ws) <= {max_tokens}, array({_strip(text)}), {windows})")
 
-    def windows(ws: Column) -> Column:
-        last = F.ceil((F.size(ws) - max_tokens) / F.lit(step)).cast("int")
-        return F.when(F.size(ws) <= max_tokens, F.array(strip(text))).otherwise(
-            F.transform(
-                F.sequence(F.lit(0), last),
-                lambda i: F.array_join(F.slice(ws, i * step + 1, max_tokens), " "),
-            )
-        )
-
-    return let(words(text), windows)
-
-
-def pack(
-    units: Column,
-    max_tokens: int,
-    overlap: int,
-    prefix: Column | None = None,
-    carry: int = 0,
-) -> Column:
+
+def pack_sql(units: str, max_tokens: int, overlap: int, prefix: str = "''", carry: int = 0) -> str:
     """Greedy packing of ordered units under a word budget.
 
     A unit that alone exceeds the budget closes the open window and is cut by
     the fixed window.  ``carry`` units of a closed window open the next one.
     """
-    if prefix is None:
-        prefix = F.lit("")
-    sized = F.transform(units, lambda u: F.struct(u.alias("u"), token_count(u).alias("n")))
-
-    def fold(frame: Column) -> Column:
-        head, budget = frame["prefix"], frame["budget"]
-
-        def emitted(state: Column) -> Column:
-            body = F.array_join(F.transform(state["open"], lambda x: x["u"]), "\n")
-            text = F.when(head == "", body).otherwise(F.concat(head, F.lit("\n"), body))
-            return F.when(
-                F.size(state["open"]) > 0, F.concat(state["out"], F.array(text))
-            ).otherwise(state["out"])
-
-        def carried(state: Column) -> Column:
-            if carry == 0:
-                return F.array().cast(_UNITS)
-            start = F.greatest(F.size(state["open"]) - carry + 1, F.lit(1))
-            return F.slice(state["open"], start, carry)
-
-        def step(state: Column, unit: Column) -> Column:
-            over = F.struct(
-                F.concat(emitted(state), fixed_window(unit["u"], max_tokens, overlap)).alias("out"),
-                F.array().cast(_UNITS).alias("open"),
-                F.lit(0).alias("size"),
-            )
-            full = let(
-                carried(state),
-                lambda kept: F.struct(
-                    emitted(state).alias("out"),
-                    F.concat(kept, F.array(unit)).alias("open"),
-                    (F.aggregate(kept, F.lit(0), lambda acc, u: acc + u["n"]) + unit["n"]).alias("size"),
-                ),
-            )
-            fits = F.struct(
-                state["out"].alias("out"),
-                F.concat(state["open"], F.array(unit)).alias("open"),
-                (state["size"] + unit["n"]).alias("size"),
-            )
-            return (
-                F.when(unit["n"] > F.greatest(budget, F.lit(1)), over)
-                .when((state["size"] + unit["n"] > budget) & (F.size(state["open"]) > 0), full)
-                .otherwise(fits)
-            )
-
-        zero = F.struct(
-            F.array().cast(_STRINGS).alias("out"),
-            F.array().cast(_UNITS).alias("open"),
-            F.lit(0).alias("size"),
-        )
-        return F.aggregate(sized, zero, step, emitted)
-
-    return let(
-        F.struct(
-            prefix.alias("prefix"), (F.lit(max_tokens) - token_count(prefix)).alias("budget")
-        ),
-        fold,
+    sized = f"transform({units}, u -> named_struct('u', u, 'n', size({_words('u')})))"
+    joined = "array_join(transform(st.open, x -> x.u), chr(10))"
+    closed = (
+        f"IF(size(st.open) > 0, concat(st.out, array(IF(fr.prefix = '', {joined}, "
+        f"concat(fr.prefix, chr(10), {joined})))), st.out)"
     )
+    none = f"CAST(array() AS {_UNITS})"
+    kept = none if carry == 0 else f"slice(st.open, greatest(size(st.open) - {carry - 1}, 1), {carry})"
 
+    def state(out: str, opened: str, size: str) -> str:
+        return f"named_struct('out', {out}, 'open', {opened}, 'size', {size})"
 
-def markdown(text: Column | str, max_tokens=fv.MAX_TOKENS, overlap=fv.OVERLAP) -> Column:
-    """Author headings always delimit; an oversize section is packed by paragraph."""
-    sections = F.split(unify_breaks(text), rf"(?Umd)(?=^{_HEADING})")
-
-    def cut(section: Column) -> Column:
-        headed = section.rlike(rf"(?U)\A{_HEADING}")
-        heading = F.when(headed, strip(F.regexp_extract(section, r"\A([^\n]*)", 1))).otherwise("")
-        body = F.when(headed, F.regexp_replace(section, r"\A[^\n]*\n?", "")).otherwise(section)
-        return let(F.struct(heading.alias("heading"), body.alias("body")), pieces)
+    over = state(f"concat({closed}, {fixed_window_sql('un.u', max_tokens, overlap)})", none, "0")
+    full = _let(
+        kept, "kp", state(closed, "concat(kp, array(un))", "aggregate(kp, 0, (a, x) -> a + x.n) + un.n")
+    )
+    fits = state("st.out", "concat(st.open, array(un))", "st.size + un.n")
+    step = (
+        f"CASE WHEN un.n > greatest(fr.budget, 1) THEN {over} "
+        f"WHEN st.size + un.n > fr.budget AND size(st.open) > 0 THEN {full} ELSE {fits} END"
+    )
+    fold = f"aggregate({sized}, {state(_NONE, none, '0')}, (st, un) -> {step}, st -> {closed})"
+    frame = _let(
+        prefix, "pf", f"named_struct('prefix', pf, 'budget', {max_tokens} - size({_words('pf')}))"
+    )
+    return _let(frame, "fr", fold)
 
-    def pieces(part: Column) -> Column:
-        return let(
-            strip(F.concat(part["heading"], F.lit("\n"), part["body"])),
-            lambda whole: F.when(whole == "", F.array().cast(_STRINGS))
-            .when(token_count(whole) <= max_tokens, F.array(whole))
-            .otherwise(pack(paragraphs(part["body"]), max_tokens, overlap, prefix=part["heading"])),
-        )
 
-    return F.flatten(F.transform(sections, cut))
+def markdown_sql(text: str, max_tokens: int, overlap: int) -> str:
+    """Author headings always delimit; an oversize section is packed by paragraph."""
+    sections = rf"split(regexp_replace({text}, r'{BREAK}', chr(10)), r'(?Umd)(?=^{_HEADING})')"
+    headed = rf"sec rlike r'(?U)\A{_HEADING}'"
+    first = _strip(r"regexp_extract(sec, r'\A([^\n]*)', 1)")
+    heading = f"IF({headed}, {first}, '')"
+    body = rf"IF({headed}, regexp_replace(sec, r'\A[^\n]*\n?', ''), sec)"
+    packed = pack_sql(_paragraphs("pt.body"), max_tokens, overlap, prefix="pt.heading")
+    pieces = _let(
+        _strip("concat(pt.heading, chr(10), pt.body)"),
+        "wh",
+        f"CASE WHEN wh = '' THEN {_NONE} WHEN size({_words('wh')}) <= {max_tokens} THEN array(wh) ELSE {packed} END",
+    )
+    part = f"named_struct('heading', {heading}, 'body', {body})"
+    return f"flatten(transform({sections}, sec -> {_let(part, 'pt', pieces)}))"
 
 
-def thread(text: Column | str, max_tokens=fv.MAX_TOKENS, overlap=fv.OVERLAP) -> Column:
+def thread_sql(text: str, max_tokens: int, overlap: int) -> str:
     """One line is one turn; packed windows share one turn."""
-    return F.when(token_count(text) <= max_tokens, F.array(strip(text))).otherwise(
-        pack(stripped_lines(text), max_tokens, overlap, carry=1)
-    )
+    turns = f"filter(transform(split({text}, r'{BREAK}'), l -> {_strip('l')}), l -> l <> '')"
+    packed = pack_sql(turns, max_tokens, overlap, carry=1)
+    return f"IF(size({_words(text)}) <= {max_tokens}, array({_strip(text)}), {packed})"
 
 
-def unquoted(text: Column | str) -> Column:
+def unquoted_sql(text: str) -> str:
     """Mail body without quoted lines and without everything below a reply marker."""
+    at = f"CAST(array_position(transform(rs, l -> {_strip('l')} rlike r'{_QUOTE_TAIL}'), true) AS int)"
+    above = _let(at, "mk", "IF(mk > 0, slice(rs, 1, greatest(mk - 1, 0)), rs)")
+    rows = _let(f"split({text}, r'{BREAK}')", "rs", above)
+    kept = rf"filter({rows}, l -> NOT l rlike r'(?U)\A[{WS}]*>')"
+    return _strip(f"array_join({kept}, chr(10))")
+
+
+def email_sql(text: str, max_tokens: int, overlap: int) -> str:
+    packed = pack_sql(_paragraphs("bd"), max_tokens, overlap)
+    return _let(
+        unquoted_sql(text),
+        "bd",
+        f"CASE WHEN bd = '' THEN {_NONE} WHEN size({_words('bd')}) <= {max_tokens} THEN array(bd) ELSE {packed} END",
+    )
 
-    def above(rows: Column) -> Column:
-        marks = F.transform(rows, lambda s: strip(s).rlike(_QUOTE_TAIL))
-        return let(
-            F.array_position(marks, True).cast("int"),
-            lambda at: F.when(at > 0, F.slice(rows, 1, F.greatest(at - 1, F.lit(0)))).otherwise(rows),
-        )
 
-    kept = F.filter(let(lines(text), above), lambda s: ~s.rlike(rf"(?U)\A[{WS}]*>"))
-    return strip(F.array_join(kept, "\n"))
+def fixed_window(text: str = "content", max_tokens=fv.MAX_TOKENS, overlap=fv.OVERLAP) -> Column:
+    return F.expr(fixed_window_sql(text, max_tokens, overlap))
 
 
-def email(text: Column | str, max_tokens=fv.MAX_TOKENS, overlap=fv.OVERLAP) -> Column:
-    return let(
-        unquoted(text),
-        lambda body: F.when(body == "", F.array().cast(_STRINGS))
-        .when(token_count(body) <= max_tokens, F.array(body))
-        .otherwise(pack(paragraphs(body), max_tokens, overlap)),
-    )
+def markdown(text: str = "content", max_tokens=fv.MAX_TOKENS, overlap=fv.OVERLAP) -> Column:
+    return F.expr(markdown_sql(text, max_tokens, overlap))
+
+
+def thread(text: str = "content", max_tokens=fv.MAX_TOKENS, overlap=fv.OVERLAP) -> Column:
+    return F.expr(thread_sql(text, max_tokens, overlap))
+
+
+def email(text: str = "content", max_tokens=fv.MAX_TOKENS, overlap=fv.OVERLAP) -> Column:
+    return F.expr(email_sql(text, max_tokens, overlap))
+
 
+def unquoted(text: str = "content") -> Column:
+    return F.expr(unquoted_sql(text))
 
-def chunk_texts(
-    text: Column | str = "content",
-    artifact_kind: Column | str = "kind",
-    source_kind: Column | str = "source_kind",
+
+def pack(units: str, max_tokens: int, overlap: int, prefix: str = "''", carry: int = 0) -> Column:
+    return F.expr(pack_sql(units, max_tokens, overlap, prefix, carry))
+
+
+def _in(column: str, values) -> str:
+    return f"{column} IN ({', '.join(repr(v) for v in values)})"
+
+
+def chunk_texts_sql(
+    text: str = "content",
+    artifact_kind: str = "kind",
+    source_kind: str = "source_kind",
     max_tokens: int = fv.MAX_TOKENS,
     overlap: int = fv.OVERLAP,
-) -> Column:
+) -> str:
     """Chunk array by artifact kind, else by source kind, else by fixed window."""
     check_window(max_tokens, overlap)
-    text, kind, source = col(text), col(artifact_kind), col(source_kind)
-    known = list(
-        fv.MARKDOWN_ARTIFACT_KINDS + fv.THREAD_ARTIFACT_KINDS + fv.EMAIL_ARTIFACT_KINDS
-    )
-    by_source = ~F.coalesce(kind.isin(known), F.lit(False))
+    known = fv.MARKDOWN_ARTIFACT_KINDS + fv.THREAD_ARTIFACT_KINDS + fv.EMAIL_ARTIFACT_KINDS
+    by_source = f"NOT coalesce({_in(artifact_kind, known)}, false)"
 
-    def chosen(kinds, sources):
-        return kind.isin(list(kinds)) | (by_source & source.isin(list(sources)))
+    def chosen(kinds, sources) -> str:
+        return f"{_in(artifact_kind, kinds)} OR ({by_source} AND {_in(source_kind, sources)})"
 
     return (
-        F.when(strip(text) == "", F.array().cast(_STRINGS))
-        .when(
-            chosen(fv.MARKDOWN_ARTIFACT_KINDS, fv.MARKDOWN_SOURCE_KINDS),
-            markdown(text, max_tokens, overlap),
-        )
-        .when(
-            chosen(fv.THREAD_ARTIFACT_KINDS, fv.THREAD_SOURCE_KINDS),
-            thread(text, max_tokens, overlap),
-        )
-        .when(
-            chosen(fv.EMAIL_ARTIFACT_KINDS, fv.EMAIL_SOURCE_KINDS),
-            email(text, max_tokens, overlap),
-        )
-        .otherwise(fixed_window(text, max_tokens, overlap))
+        f"CASE WHEN {_strip(text)} = '' THEN {_NONE} "
+        f"WHEN {chosen(fv.MARKDOWN_ARTIFACT_KINDS, fv.MARKDOWN_SOURCE_KINDS)} THEN {markdown_sql(text, max_tokens, overlap)} "
+        f"WHEN {chosen(fv.THREAD_ARTIFACT_KINDS, fv.THREAD_SOURCE_KINDS)} THEN {thread_sql(text, max_tokens, overlap)} "
+        f"WHEN {chosen(fv.EMAIL_ARTIFACT_KINDS, fv.EMAIL_SOURCE_KINDS)} THEN {email_sql(text, max_tokens, overlap)} "
+        f"ELSE {fixed_window_sql(text, max_tokens, overlap)} END"
     )
 
 
+def chunk_texts(*args, **options) -> Column:
+    return F.expr(chunk_texts_sql(*args, **options))
+
+
 def chunk_artifacts(
     artifacts: DataFrame,
     max_tokens: int = fv.MAX_TOKENS,
     overlap: int = fv.OVERLAP,
-    texts: Column | None = None,
+    texts: str | None = None,
 ) -> DataFrame:
     """Chunk rows with ids, hashes and word counts for a table of artifacts."""
     check_window(max_tokens, overlap)
     if texts is None:
-        texts = chunk_texts(max_tokens=max_tokens, overlap=overlap)
+        texts = chunk_texts_sql(max_tokens=max_tokens, overlap=overlap)
     keep = [
         c
         for c in ("tenant_id", "source_kind", "external_id", "artifact_id", "kind", "created_at", "content_hash", "head")
         if c in artifacts.columns
     ]
-    cut = artifacts.select(*keep, texts.alias("_texts"))
-    parts = cut.select(
-        *keep,
-        F.size("_texts").cast("long").alias("n_chunks"),
-        F.posexplode("_texts").alias("ordinal", "text"),
+    numbered = _let(
+        texts, "tx",
+        "transform(tx, (t, i) -> named_struct('ordinal', CAST(i AS bigint), 'text', t, 'n', CAST(size(tx) AS bigint)))",
+    )
+    # The outer form keeps the optimiser from adding a size filter below the
+    # generator, which would evaluate the whole chunk expression again.
+    parts = (
+        artifacts.select(*keep, F.explode_outer(F.expr(numbered)).alias("_p"))
+        .select(*keep, F.col("_p.n").alias("n_chunks"), "_p.ordinal", "_p.text")
+        .filter(F.col("text").isNotNull())
     )
     return parts.withColumns(
         {
-            "ordinal": F.col("ordinal").cast("long"),
             "chunk_id": ids.chunk_id(),
             "chunk_hash": content_hash("text"),
             "token_count": token_count("text").cast("long"),

@@ -1,8 +1,10 @@
 """Full-text retrieval over chunk rows.
 
-The words of the query table are matched against the chunks' own words in the
-scan, so only matching positions are shuffled.  A prebuilt postings table
-(:func:`build_postings`) can stand in for the chunk scan.
+A chunk can only match if it holds the rarest-looking word of some alternative
+of a query.  So each alternative picks one *driver* word, the chunks' own words
+are looked up among the drivers during the scan, and the few chunks that come
+through are tested and scored in place, against their own word array.  Nothing
+is shuffled but the scored matches, on their way to the top-k.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from lodestone import fixed_values as fv
 from lodestone.functions import ids
 from lodestone.functions.stem import english_terms
 from lodestone.functions.text import fulltext_tokens, let, searchable
-from lodestone.session import broadcast_if_small
+from lodestone.session import pinned_if_small
 
 
 def _terms(tokens: Column, config: str) -> Column:
@@ -29,173 +31,158 @@ def index_text(chunks: DataFrame) -> Column:
     return searchable("text", "blurb") if "blurb" in chunks.columns else F.col("text")
 
 
+def indexed(chunks: DataFrame, config: str = "english", id_col: str = "chunk_id") -> DataFrame:
+    """(tenant_id, chunk, terms): the ordered index words of each chunk; a stop word is null."""
+    return chunks.select(
+        "tenant_id", id_col, _terms(fulltext_tokens(index_text(chunks)), config).alias("terms")
+    )
+
+
 def positions(chunks: DataFrame, config: str = "english", id_col: str = "chunk_id") -> DataFrame:
-    """(tenant_id, chunk, length, pos, term): one row per indexed word."""
-    tokens = chunks.select("tenant_id", id_col, _terms(fulltext_tokens(index_text(chunks)), config).alias("_t"))
-    sized = tokens.withColumn("length", F.size(F.filter("_t", lambda t: t.isNotNull())).cast("long"))
-    return sized.select(
-        "tenant_id", id_col, "length", F.posexplode("_t").alias("pos", "term")
-    ).filter(F.col("term").isNotNull())
+    """(tenant_id, chunk, pos, term): one row per indexed word."""
+    return (
+        indexed(chunks, config, id_col)
+        .select("tenant_id", id_col, F.posexplode_outer("terms").alias("pos", "term"))
+        .filter(F.col("term").isNotNull())
+    )
 
 
 def build_postings(chunks: DataFrame, config: str = "english", id_col: str = "chunk_id") -> DataFrame:
     """Inverted index: per (tenant, term, chunk) the count and the ordered positions."""
     return (
         positions(chunks, config, id_col)
-        .groupBy("tenant_id", "term", id_col, "length")
-        .agg(
-            F.count("*").alias("tf"),
-            F.sort_array(F.collect_list("pos")).alias("positions"),
-        )
+        .groupBy("tenant_id", "term", id_col)
+        .agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     )
 
 
 def parse_queries(queries: DataFrame, config: str = "english") -> DataFrame:
-    """Web-style query text to one row per lexeme.
+    """Web-style query text to one structured row per query.
 
     Bare words are and-ed, ``OR`` separates alternatives, quotes make a phrase,
-    a leading ``-`` excludes.  ``grp`` numbers the alternatives, ``item`` the
-    words or phrases inside one, ``off`` the lexeme's place inside its phrase.
+    a leading ``-`` excludes.  ``items`` are the distinct conditions with the
+    alternative (``grp``) they belong to, ``shape`` counts the wanted items of
+    each alternative, ``wanted`` lists their words, ``driver`` is the longest.
     """
     raw = F.regexp_extract_all("query", F.lit(r'-?"[^"]*"?|[^\s"]+'), F.lit(0))
-
-    def numbered(items: Column) -> Column:
-        return F.transform(
+    numbered = let(
+        raw,
+        lambda items: F.transform(
             items,
             lambda x, i: F.struct(
-                F.size(F.filter(F.slice(items, 1, i), lambda y: F.lower(y) == "or")).alias("grp"),
-                x.startswith("-").alias("neg"),
-                x.alias("raw"),
+                F.size(F.filter(F.slice(items, 1, i), lambda y: F.lower(y) == "or")).alias("grp"), x.alias("raw")
             ),
-        )
-
-    items = queries.select("query_id", "tenant_id", F.posexplode(let(raw, numbered)).alias("item", "i"))
-    items = items.filter(F.lower("i.raw") != "or").select(
-        "query_id", "tenant_id", "item", "i.grp", "i.neg", _terms(fulltext_tokens("i.raw"), config).alias("_t")
-    )
-    lexemes = items.select(
-        "query_id", "tenant_id", "item", "grp", "neg",
-        F.size(F.filter("_t", lambda t: t.isNotNull())).alias("n_lex"),
-        F.posexplode("_t").alias("off", "term"),
-    ).filter(F.col("term").isNotNull())
-    # A word repeated inside one alternative is one condition, not two.
-    same = Window.partitionBy("query_id", "grp", "neg", "term")
-    lexemes = lexemes.withColumn(
-        "_dup", (F.col("n_lex") == 1) & (F.col("item") > F.min(F.when(F.col("n_lex") == 1, F.col("item"))).over(same))
-    ).filter(~F.col("_dup"))
-    by_query = Window.partitionBy("query_id")
-    by_group = Window.partitionBy("query_id", "grp")
-    lexemes = lexemes.withColumns(
-        {
-            "slot": F.dense_rank().over(by_group.orderBy(F.asc("neg"), F.asc("item"))) - 1,
-            "grp": F.dense_rank().over(by_query.orderBy("grp")) - 1,
-        }
-    ).withColumn(
-        "need", F.size(F.collect_set(F.when(~F.col("neg"), F.col("item"))).over(by_group))
-    )
-    return lexemes.withColumn(
-        "shape",
-        F.transform(
-            F.array_sort(F.collect_set(F.struct("grp", "need")).over(by_query)),
-            lambda g: g["need"],
         ),
-    ).drop("_dup")
-
-
-def _occurrences(words: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
-    """Completed words and phrases: one row per place where an item occurs in a chunk."""
-    hits = words.join(broadcast_if_small(terms), ["tenant_id", "term"])
-    located = hits.select(
-        "query_id", "tenant_id", id_col, "length", "grp", "slot", "neg", "n_lex", "need", "shape", "term",
-        (F.col("pos") - F.col("off")).alias("start"), "pos",
+    )
+    parts = queries.select("query_id", "tenant_id", F.posexplode(numbered).alias("at", "i"))
+    parts = parts.filter(F.lower("i.raw") != "or").select(
+        "query_id", "tenant_id", "at", "i.grp", F.startswith("i.raw", F.lit("-")).alias("neg"),
+        _terms(fulltext_tokens("i.raw"), config).alias("t"),
     )
+    lex = "filter(transform(x.t, (w, o) -> named_struct('off', o, 'term', w)), l -> l.term IS NOT NULL)"
+    rebased = "transform(y.lex, l -> named_struct('off', l.off - y.lex[0].off, 'term', l.term))"
+    items = (
+        f"array_distinct(transform(filter(transform(_raw, x -> named_struct('grp', x.grp, 'neg', x.neg, 'lex', {lex})), "
+        f"y -> size(y.lex) > 0), y -> named_struct('grp', y.grp, 'neg', y.neg, 'lex', {rebased})))"
+    )
+    slots = (
+        "transform(_items, (x, i) -> named_struct('grp', array_position(_groups, x.grp) - 1, 'neg', x.neg, "
+        "'slot', size(filter(slice(_items, 1, i), y -> y.grp = x.grp AND NOT y.neg)), 'n_lex', size(x.lex), 'lex', x.lex))"
+    )
+    wanted = (
+        "transform(_groups, g -> array_distinct(flatten(transform(filter(_items, x -> x.grp = g AND NOT x.neg), "
+        "x -> transform(x.lex, l -> l.term)))))"
+    )
     return (
-        located.repartition("query_id", id_col)
-        .groupBy("query_id", "tenant_id", id_col, "length", "grp", "slot", "neg", "n_lex", "shape", "start")
-        .agg(F.count("*").alias("_n"), F.max("pos").alias("end"))
-        .filter(F.col("_n") == F.col("n_lex"))
+        parts.groupBy("query_id", "tenant_id")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "grp", "neg", "t"))).alias("_raw"))
+        .withColumn("_items", F.expr(items))
+        .withColumn("_groups", F.expr("array_sort(array_distinct(transform(_items, x -> x.grp)))"))
+        .select(
+            "query_id",
+            "tenant_id",
+            F.expr(slots).alias("items"),
+            F.expr("transform(_groups, g -> size(filter(_items, x -> x.grp = g AND NOT x.neg)))").alias("shape"),
+            F.expr(wanted).alias("wanted"),
+        )
+        .filter(F.size("items") > 0)
+        .withColumn(
+            "drivers",
+            F.expr("transform(wanted, ts -> array_max(transform(ts, t -> named_struct('n', length(t), 'term', t))).term)"),
+        )
     )
 
 
-def _satisfied(hits: Column, shape: Column) -> Column:
-    """Does any alternative have all its items and none of its exclusions?"""
-    numbers = F.sequence(F.lit(0), F.size(shape) - 1)
-
-    def group_ok(g: Column) -> Column:
-        mine = F.filter(hits, lambda h: h["grp"] == g)
-        wanted = F.size(F.array_distinct(F.transform(F.filter(mine, lambda h: ~h["neg"]), lambda h: h["slot"])))
-        return (wanted == F.get(shape, g)) & (wanted > 0) & ~F.exists(mine, lambda h: h["neg"])
-
-    return F.exists(numbers, group_ok)
-
-
-def cover_density(hits: Column, shape: Column, weight: float = fv.COVER_WEIGHT) -> Column:
+def _candidates(queries: DataFrame, small: bool, words: DataFrame, id_col: str) -> DataFrame:
+    """(chunk with its words) x (query whose driver it holds), for the alternatives ``alt``."""
+    asked = queries.select("*", F.posexplode("drivers").alias("alt", "term")).drop("drivers")
+    driven, lone = asked.filter(F.col("term").isNotNull()), asked.filter(F.col("term").isNull()).drop("term")
+    if small:
+        held = words.select("tenant_id", id_col, "terms", F.explode_outer(F.array_distinct("terms")).alias("term"))
+        pairs = held.join(F.broadcast(driven), ["tenant_id", "term"]).drop("term")
+    else:
+        # Too many queries for one task's memory: meet on (tenant, word), ids
+        # only, then fetch each side's row.
+        held = words.select("tenant_id", id_col, F.explode_outer(F.array_distinct("terms")).alias("term"))
+        met = held.join(driven.select("tenant_id", "term", "query_id", "alt"), ["tenant_id", "term"]).drop("term")
+        pairs = met.join(words, ["tenant_id", id_col]).join(queries.drop("drivers"), ["tenant_id", "query_id"])
+    if small and lone.isEmpty():
+        return pairs
+    # An alternative made of exclusions alone has no driver: every chunk of the tenant is tested.
+    return pairs.unionByName(words.join(F.broadcast(lone) if small else lone, "tenant_id"))
+
+
+_HITS = (
+    "sort_array(flatten(transform(items, it -> transform(filter(sequence(0, size(terms) - 1), "
+    "p -> forall(it.lex, l -> get(terms, p + l.off) <=> l.term)), p -> named_struct("
+    "'end', p + element_at(it.lex, -1).off, 'start', p, 'grp', CAST(it.grp AS int), 'slot', it.slot, 'n_lex', it.n_lex, 'neg', it.neg)))))"
+)
+_FULFILLED = (
+    "filter(sequence(0, size(shape) - 1), g -> get(transform(array(filter(hits, h -> h.grp = g)), mine -> "
+    "size(array_distinct(transform(filter(mine, h -> NOT h.neg), h -> h.slot))) = get(shape, g) "
+    "AND NOT exists(mine, h -> h.neg)), 0))"
+)
+
+
+def _matched(queries: DataFrame, small: bool, words: DataFrame, id_col: str) -> DataFrame:
+    """Matching (query, chunk) pairs, once each, with their ordered ``hits``."""
+    pairs = _candidates(queries, small, words, id_col)
+    plausible = pairs.filter(F.expr("size(array_except(get(wanted, alt), terms)) = 0"))
+    tested = plausible.withColumn("hits", F.expr(_HITS)).withColumn("_ok", F.expr(_FULFILLED))
+    # A chunk reached through several alternatives is kept for the first it fulfils.
+    return tested.filter(F.get("_ok", F.lit(0)) == F.col("alt")).drop("_ok")
+
+
+def cover_density(hits: str, shape: str, weight: float = fv.COVER_WEIGHT) -> Column:
     """Sum over minimal covers of ``weight / (1 + words in the cover that do not match)``.
 
     ``hits``: ordered array of (end, start, grp, slot, n_lex).  Folding from left
     to right keeps, per item, its latest place; a cover ends wherever the
     earliest of these latest places moves forward.
     """
-    place = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("seen"))
-    empty = F.transform(shape, lambda need: F.array_repeat(place, need))
-    zero = F.struct(
-        empty.alias("last"), F.lit(-1).alias("from"), F.lit(0).alias("seen"), F.lit(0.0).alias("score"),
-        F.lit(-1).alias("end"),
-    )
-
-    def step(state: Column, hit: Column) -> Column:
-        again = hit["end"] == state["end"]
-        before = state["seen"] - F.when(again, hit["n_lex"]).otherwise(0)
-        here = F.struct(hit["start"].alias("start"), before.alias("seen"))
-        last = F.transform(
-            state["last"],
-            lambda items, g: F.when(
-                g == hit["grp"], F.transform(items, lambda p, s: F.when(s == hit["slot"], here).otherwise(p))
-            ).otherwise(items),
-        )
-        seen = before + hit["n_lex"]
-
-        def advance(w: Column) -> Column:
-            opened = F.array_max(F.transform(w["last"], lambda items: F.array_min(items)))
-            return let(
-                F.struct(w["last"].alias("last"), opened.alias("open"), w["seen"].alias("seen")),
-                lambda v: F.struct(
-                    v["last"].alias("last"),
-                    F.greatest(state["from"], v["open"]["start"]).alias("from"),
-                    v["seen"].alias("seen"),
-                    (
-                        state["score"]
-                        + F.when(
-                            v["open"]["start"] > state["from"],
-                            F.lit(weight)
-                            / (
-                                F.lit(1.0)
-                                + F.greatest(
-                                    hit["end"] - v["open"]["start"] + 1 - (v["seen"] - v["open"]["seen"]),
-                                    F.lit(0),
-                                )
-                            ),
-                        ).otherwise(0.0)
-                    ).alias("score"),
-                    hit["end"].alias("end"),
-                ),
-            )
-
-        return let(F.struct(last.alias("last"), seen.alias("seen")), advance)
-
-    return F.aggregate(hits, zero, step, lambda s: s["score"]).cast("float").cast("double")
-
-
-def _only_exclusions(terms: DataFrame, words: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
-    """Alternatives made of exclusions alone match every chunk without those words."""
-    lone = terms.filter(F.col("need") == 0).select("query_id", "tenant_id", "grp", "term")
-    asked = lone.select("query_id", "tenant_id", "grp").distinct()
-    banned = words.join(broadcast_if_small(lone), ["tenant_id", "term"]).select("query_id", "grp", id_col)
-    return (
-        chunks.select("tenant_id", id_col)
-        .join(asked, "tenant_id")
-        .join(banned, ["query_id", "grp", id_col], "left_anti")
-        .select("query_id", "tenant_id", id_col, F.lit(0.0).alias("score"))
+    again = "hit.end = st.end"
+    before = f"(st.seen - IF({again}, hit.n_lex, 0))"
+    here = f"named_struct('start', hit.start, 'seen', {before})"
+    last = (
+        "transform(st.last, (its, g) -> IF(g = hit.grp, "
+        f"transform(its, (p, s) -> IF(s = hit.slot, {here}, p)), its))"
+    )
+    opened = "array_max(transform(w.last, its -> array_min(its)))"
+    noise = "greatest(hit.end - o.start + 1 - (w.seen - o.seen), 0)"
+    advanced = (
+        "named_struct('last', w.last, 'from', greatest(st.from, o.start), 'seen', w.seen, 'score', "
+        f"st.score + IF(o.start > st.from, {weight}D / (1 + {noise}), 0D), 'end', hit.end)"
+    )
+    step = (
+        f"get(transform(array(named_struct('last', {last}, 'seen', {before} + hit.n_lex)), w -> "
+        f"get(transform(array({opened}), o -> {advanced}), 0)), 0)"
+    )
+    zero = (
+        f"named_struct('last', transform({shape}, need -> array_repeat(named_struct('start', -1, 'seen', 0), need)), "
+        "'from', -1, 'seen', 0, 'score', 0D, 'end', -1)"
+    )
+    return F.expr(
+        f"CAST(CAST(aggregate({hits}, {zero}, (st, hit) -> {step}, st -> st.score) AS float) AS double)"
     )
 
 
@@ -205,49 +192,40 @@ def sparse_matches(
     scoring: str = "cover_density",
     config: str = "english",
     id_col: str = "chunk_id",
-    words: DataFrame | None = None,
     k1: float = 1.2,
     b: float = 0.75,
 ) -> DataFrame:
     """All (query, chunk) matches with a score."""
     if scoring not in ("cover_density", "bm25"):
         raise ValueError(f"unknown scoring: {scoring!r}")
-    terms = parse_queries(queries, config)
-    words = positions(chunks, config, id_col) if words is None else words
-    found = _occurrences(words, terms, id_col)
-    grouped = (
-        found.groupBy("query_id", "tenant_id", id_col, "shape", "length")
-        .agg(F.sort_array(F.collect_list(F.struct("end", "start", "grp", "slot", "n_lex", "neg"))).alias("hits"))
-        .filter(_satisfied(F.col("hits"), F.col("shape")))
-    )
-    positive = F.filter("hits", lambda h: ~h["neg"])
+    parsed, small = pinned_if_small(parse_queries(queries, config))
+    words = indexed(chunks, config, id_col)
+    matched = _matched(parsed, small, words, id_col)
     if scoring == "cover_density":
-        scored = grouped.select("query_id", "tenant_id", id_col, cover_density(positive, F.col("shape")).alias("score"))
-    else:
-        scored = _bm25(grouped.withColumn("hits", positive), found, chunks, words, id_col, k1, b)
-    if not terms.filter(F.col("need") == 0).isEmpty():
-        lone = _only_exclusions(terms, words, chunks, id_col)
-        scored = scored.unionByName(lone).groupBy("query_id", "tenant_id", id_col).agg(F.max("score").alias("score"))
-    return scored
-
-
-def _bm25(grouped, found, chunks, words, id_col, k1, b) -> DataFrame:
-    """Okapi BM25 over the matched items, with statistics of the tenant's corpus."""
-    per_chunk = chunks.select("tenant_id", F.size(fulltext_tokens(index_text(chunks))).alias("n"))
-    corpus = per_chunk.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
-    keys = ["query_id", "tenant_id", "grp", "slot"]
+        positive = matched.withColumn("hits", F.expr("filter(hits, h -> NOT h.neg)"))
+        return positive.select("query_id", "tenant_id", id_col, cover_density("hits", "shape").alias("score"))
+    return _bm25(matched, parsed, small, words, id_col, k1, b)
+
+
+def _bm25(matched, parsed, small, words, id_col, k1, b) -> DataFrame:
+    """Okapi BM25 over the wanted words of each match, with statistics of the tenant's corpus."""
+    length = F.size(F.array_compact("terms")).cast("long")
+    corpus = words.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.avg(length).alias("avg_len"))
+    asked = parsed.select("tenant_id", F.explode(F.flatten("wanted")).alias("term")).distinct()
+    held = words.select("tenant_id", F.explode_outer(F.array_distinct("terms")).alias("term"))
     df = (
-        found.filter(~F.col("neg")).select(*keys, id_col).distinct().groupBy(*keys).agg(F.count("*").alias("df"))
-    )
-    tf = (
-        grouped.select("query_id", "tenant_id", id_col, "length", F.explode("hits").alias("h"))
-        .groupBy("query_id", "tenant_id", id_col, "length", F.col("h.grp").alias("grp"), F.col("h.slot").alias("slot"))
-        .agg(F.count("*").alias("tf"))
+        held.join(F.broadcast(asked) if small else asked, ["tenant_id", "term"])
+        .groupBy("tenant_id", "term")
+        .agg(F.count("*").alias("df"))
     )
+    tf = matched.select(
+        "query_id", "tenant_id", id_col, length.alias("length"), "terms",
+        F.explode(F.array_distinct(F.flatten("wanted"))).alias("term"),
+    ).withColumn("tf", F.expr("size(filter(terms, t -> t = term))")).drop("terms").filter(F.col("tf") > 0)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_len")))
     return (
-        tf.join(df, keys)
+        tf.join(df, ["tenant_id", "term"])
         .join(corpus, "tenant_id")
         .groupBy("query_id", "tenant_id", id_col)
         .agg(F.sum(part).alias("score"))

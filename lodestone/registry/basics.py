@@ -246,7 +246,8 @@ def email(spark, sf):
     mail = F.concat("text", F.lit("\n"), quoted, F.lit("\nOn Monday someone wrote:\nquoted words below"))
     return (
         V.table(spark, sf, "conversations")
-        .select("conv_id", "turn", F.explode(C.email(mail)).alias("t"))
+        .withColumn("mail", mail)
+        .select("conv_id", "turn", F.explode(C.email("mail")).alias("t"))
         .select("conv_id", "turn", F.md5("t").alias("text_hash"))
     )
 
@@ -285,7 +286,7 @@ def pack(spark, sf):
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", line.alias("l")))), lambda x: x["l"]).alias("u"))
     )
     return (
-        units.select("source", "grp", F.explode(C.pack(F.col("u"), 300, 50, prefix=F.lit("# head"))).alias("t"))
+        units.select("source", "grp", F.explode(C.pack("u", 300, 50, prefix="'# head'")).alias("t"))
         .groupBy("source", "grp", F.md5("t").alias("text_hash"))
         .agg(F.count("*").alias("n"))
     )

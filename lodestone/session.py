@@ -38,6 +38,18 @@ def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def pinned_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """Compute a side that is counted to be small once, and keep it as local rows.
+
+    At most ``limit + 1`` rows are fetched.  A larger side is returned as it is,
+    with False: the caller then joins it by shuffle.
+    """
+    held = df.limit(limit + 1).toArrow()
+    if held.num_rows > limit:
+        return df, False
+    return df.sparkSession.createDataFrame(held, schema=df.schema), True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a fresh local one only when unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
