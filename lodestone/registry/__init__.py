@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.registry import basics, retrieval
+from lodestone.registry import basics, knowledge, retrieval
 
-_FAMILIES = (basics, retrieval)
+_FAMILIES = (basics, retrieval, knowledge)
 
 
 def queries():
