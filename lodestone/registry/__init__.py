@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.registry import basics, knowledge, retrieval
+from lodestone.registry import basics, knowledge, lifecycle, retrieval
 
-_FAMILIES = (basics, retrieval, knowledge)
+_FAMILIES = (basics, retrieval, knowledge, lifecycle)
 
 
 def queries():
