@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.registry import basics, knowledge, lifecycle, retrieval
+from lodestone.registry import basics, knowledge, lifecycle, pipelines, retrieval
 
-_FAMILIES = (basics, retrieval, knowledge, lifecycle)
+_FAMILIES = (basics, retrieval, knowledge, lifecycle, pipelines)
 
 
 def queries():
