@@ -134,7 +134,7 @@ def _candidates(queries: DataFrame, small: bool, words: DataFrame, id_col: str)
 
 _HITS = (
     "sort_array(flatten(transform(items, it -> transform(filter(sequence(0, size(terms) - 1), "
-    "p -> forall(it.lex, l -> get(terms, p + l.off) <=> l.term)), p -> named_struct("
+    "p -> IF(it.n_lex = 1, get(terms, p) <=> it.lex[0].term, forall(it.lex, l -> get(terms, p + l.off) <=> l.term))), p -> named_struct("
     "'end', p + element_at(it.lex, -1).off, 'start', p, 'grp', CAST(it.grp AS int), 'slot', it.slot, 'n_lex', it.n_lex, 'neg', it.neg)))))"
 )
 _FULFILLED = (
@@ -144,16 +144,26 @@ _FULFILLED = (
 )
 
 
-def _matched(queries: DataFrame, small: bool, words: DataFrame, id_col: str) -> DataFrame:
-    """Matching (query, chunk) pairs, once each, with their ordered ``hits``."""
+def _matched(queries: DataFrame, small: bool, words: DataFrame, id_col: str, score: str) -> DataFrame:
+    """Matching (query, chunk) pairs, once each, with ``score`` computed over ``hits``.
+
+    A chunk reached through several alternatives is kept for the first it
+    fulfils.  The test comes out of a generator, which the optimiser does not
+    copy into a filter, so each candidate is tested once.
+    """
     pairs = _candidates(queries, small, words, id_col)
     plausible = pairs.filter(F.expr("size(array_except(get(wanted, alt), terms)) = 0"))
-    tested = plausible.withColumn("hits", F.expr(_HITS)).withColumn("_ok", F.expr(_FULFILLED))
-    # A chunk reached through several alternatives is kept for the first it fulfils.
-    return tested.filter(F.get("_ok", F.lit(0)) == F.col("alt")).drop("_ok")
+    kept = f"IF(get({_FULFILLED}, 0) = alt, array(named_struct('score', {score})), array())"
+    tested = f"get(transform(array({_HITS}), hits -> {kept}), 0)"
+    return (
+        plausible.select("query_id", "tenant_id", id_col, "terms", "wanted", F.explode_outer(F.expr(tested)).alias("_m"))
+        .filter(F.col("_m").isNotNull())
+        .withColumn("score", F.col("_m.score"))
+        .drop("_m")
+    )
 
 
-def cover_density(hits: str, shape: str, weight: float = fv.COVER_WEIGHT) -> Column:
+def cover_density_sql(hits: str, shape: str, weight: float = fv.COVER_WEIGHT) -> str:
     """Sum over minimal covers of ``weight / (1 + words in the cover that do not match)``.
 
     ``hits``: ordered array of (end, start, grp, slot, n_lex).  Folding from left
@@ -181,9 +191,7 @@ def cover_density(hits: str, shape: str, weight: float = fv.COVER_WEIGHT) -> Col
         f"named_struct('last', transform({shape}, need -> array_repeat(named_struct('start', -1, 'seen', 0), need)), "
         "'from', -1, 'seen', 0, 'score', 0D, 'end', -1)"
     )
-    return F.expr(
-        f"CAST(CAST(aggregate({hits}, {zero}, (st, hit) -> {step}, st -> st.score) AS float) AS double)"
-    )
+    return f"CAST(CAST(aggregate({hits}, {zero}, (st, hit) -> {step}, st -> st.score) AS float) AS double)"
 
 
 def sparse_matches(
@@ -200,10 +208,10 @@ def sparse_matches(
         raise ValueError(f"unknown scoring: {scoring!r}")
     parsed, small = pinned_if_small(parse_queries(queries, config))
     words = indexed(chunks, config, id_col)
-    matched = _matched(parsed, small, words, id_col)
     if scoring == "cover_density":
-        positive = matched.withColumn("hits", F.expr("filter(hits, h -> NOT h.neg)"))
-        return positive.select("query_id", "tenant_id", id_col, cover_density("hits", "shape").alias("score"))
+        score = cover_density_sql("filter(hits, h -> NOT h.neg)", "shape")
+        return _matched(parsed, small, words, id_col, score).select("query_id", "tenant_id", id_col, "score")
+    matched = _matched(parsed, small, words, id_col, "0D")
     return _bm25(matched, parsed, small, words, id_col, k1, b)
 
 
