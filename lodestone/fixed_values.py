@@ -18,7 +18,8 @@ QUOTE_TAIL = r"^(On .{0,200} wrote:|-{2,}\s*Original Message\s*-{0,}|From: .+)$"
 HEAD_WORDS = 12
 
 # --- identity ---------------------------------------------------------------
-TENANT_PREFIX = "cortex-tenant:"
+# Prefix of tenant names; pass a deployment's own prefix to `tenant_id` to get its ids.
+TENANT_PREFIX = "tenant:"
 DNS_NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 
 # --- embedding, search, fusion ----------------------------------------------

@@ -22,13 +22,13 @@ def _dashed(hex32: Column) -> Column:
     )
 
 
-def tenant_id(value: Column | str) -> Column:
+def tenant_id(value: Column | str, prefix: str = fv.TENANT_PREFIX) -> Column:
     """A UUID passes through in canonical form; a name maps to its version-5 UUID."""
     v = col(value)
     digest = F.sha1(
         F.concat(
             F.unhex(F.lit(fv.DNS_NAMESPACE.replace("-", ""))),
-            F.concat(F.lit(fv.TENANT_PREFIX), v).cast("binary"),
+            F.concat(F.lit(prefix), v).cast("binary"),
         )
     )
     variant = F.lower(
