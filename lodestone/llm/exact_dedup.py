@@ -222,26 +222,19 @@ def dedup(docs: DataFrame, arrived) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one for each kept (doc_id, text) of ``decided``.
+def keep_one(docs: DataFrame, decided: DataFrame, mark=None, column: str = "text_sha256") -> DataFrame:
+    """The rows of ``docs`` that stay: one for each kept (doc_id, mark) of ``decided``.
 
-    Ids that no other row shares meet their decision by id alone; only rows
-    under a repeated id are hashed again and numbered.
+    ``mark`` is the expression over ``docs`` that ``column`` of ``decided`` holds.
+    Ids that no other row shares meet their decision by id alone; only rows under
+    a repeated id are marked again and numbered.
     """
     names = docs.columns
-    per_id = decided.groupBy("doc_id").agg(F.count("*").alias("__n"), F.max("kept").alias("__kept"))
-    met = docs.join(per_id.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    plain = met.filter("__n = 1 AND __kept").select(*names)
-    kept = decided.filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__sha"))
-    again = met.filter("__n > 1 AND __kept").withColumn("__sha", folded_sha256(text_or_empty()))
-    order = [F.xxhash64(*[F.col(n) for n in names])]
-    again = (
-        again.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "__sha").orderBy(*order)))
-        .filter("__row = 1")
-        .join(kept, (F.col("doc_id").eqNullSafe(F.col("__kept_id"))) & (again["__sha"] == kept["__sha"]), "left_semi")
-        .select(*names)
-    )
-    return plain.unionByName(again)
-
-
-__all__ = ["build_filter", "confirmed", "dedup", "digests", "grouped", "keep_one", "may_hold", "screened", "snapshot_filters"]
+    mark = folded_sha256(text_or_empty()) if mark is None else mark
+    per_id = decided.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max("kept").alias("__kept"))
+    met = docs.join(per_id.filter("__kept"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    kept = decided.filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col(column).alias("__kept_mark")).distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy(F.xxhash64(*[F.col(n) for n in names])))
+    again = met.filter("__n > 1").withColumn("__mark", mark).withColumn("__row", first).filter("__row = 1")
+    again = again.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__mark") == F.col("__kept_mark")), "left_semi")
+    return met.filter("__n = 1").select(*names).unionByName(again.select(*names))

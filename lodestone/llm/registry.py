@@ -4,10 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, simhash_dedup
+import corpus_pipeline
+from lodestone.llm import decontaminate, exact_dedup, html_main, language_id, mixing, simhash_dedup
 from lodestone.llm.common import table
 
 
+def op1_html_main_text(spark, sf_dir):
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_decontamination(spark, sf_dir):
+    """The documents that hold a benchmark passage, and which."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark, sf_dir):
+    """Every document (host: its source) and every page (main text, markup language, host of its url)."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("long")
+    rows = docs.select("doc_id", none.alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    rows = rows.unionByName(
+        pages.select(
+            none.alias("doc_id"),
+            "page_id",
+            html_main.main_texts(F.coalesce("html", F.lit(""))).alias("text"),
+            language_id.declared_language(F.col("html")).alias("declared"),
+            F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1).alias("host"),
+        )
+    )
+    names, model = language_id.fit(docs.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label")))
+    return language_id.identify(rows, names, model)
+
+
+def op5_source_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     """Half of the documents, by a hash of the id, are the snapshot; the rest is the new batch."""
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
@@ -17,7 +49,14 @@ def op9_simhash_dedup(spark, sf_dir):
     return simhash_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_exact_dedup, op9_simhash_dedup)}
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_main_text, op2_decontamination, op4_language_id, op5_source_mix, op8_exact_dedup, op9_simhash_dedup, pipeline)
+}
 
 SQL = {
     "op8_exact_dedup": """

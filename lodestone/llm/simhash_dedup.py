@@ -70,6 +70,15 @@ def fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
+def fingerprint_hex(text):
+    """The fingerprint as 16 hex digits."""
+    return as_hex(fingerprints(text))
+
+
+def as_hex(fp):
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 class Forest:
     """BK-trees of many shards at once, as arrays of (parent, edge) keys."""
 
@@ -221,4 +230,4 @@ def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
