@@ -24,10 +24,9 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +53,6 @@ OTHER = SIDE - 1
 _CLASS = np.full(0x250, 0, np.uint8)
 for _i, _c in enumerate(LETTERS):
     _CLASS[ord(_c)] = _i + 1
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.IGNORECASE)
 _PIECE = 1 << 20
 
 
@@ -73,17 +71,19 @@ def trigrams(text: str):
 def gram_counts(rows: DataFrame) -> DataFrame:
     """label, gram, n summed over rows of (label, text)."""
 
-    def count(frames):
-        for pdf in frames:
-            for label, part in pdf.groupby("label"):
-                total = np.zeros(SIDE**3, np.int64)
-                for text in part["text"]:
-                    for grams in trigrams(text):
-                        total += np.bincount(grams, minlength=SIDE**3)
-                at = np.flatnonzero(total)
-                yield pd.DataFrame({"label": label, "gram": at, "n": total[at]})
-
-    return rows.mapInPandas(count, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    def count(batches):
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total = totals.setdefault(label, np.zeros(SIDE**3, np.int64))
+                for grams in trigrams(text.as_py() or ""):
+                    at, n = np.unique(grams, return_counts=True)
+                    total[at] += n
+        for label, total in totals.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["label", "gram", "n"])
+
+    return rows.select("label", "text").mapInArrow(count, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:

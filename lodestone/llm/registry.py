@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import decontaminate, exact_dedup, html_main, language_id, mixing, simhash_dedup
+from lodestone.llm import decontaminate, exact_dedup, html_main, language_id, license_scan, mixing, simhash_dedup, url_filter
 from lodestone.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op5_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     """Half of the documents, by a hash of the id, are the snapshot; the rest is the new batch."""
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
@@ -49,13 +53,27 @@ def op9_simhash_dedup(spark, sf_dir):
     return simhash_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark, sf_dir):
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_main_text, op2_decontamination, op4_language_id, op5_source_mix, op8_exact_dedup, op9_simhash_dedup, pipeline)
+    for f in (
+        op1_html_main_text,
+        op2_decontamination,
+        op4_language_id,
+        op5_source_mix,
+        op7_url_filter,
+        op8_exact_dedup,
+        op9_simhash_dedup,
+        op10_license_scan,
+        pipeline,
+    )
 }
 
 SQL = {
