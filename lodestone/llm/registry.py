@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import decontaminate, exact_dedup, html_main, language_id, license_scan, mixing, simhash_dedup, url_filter
+from lodestone.llm import decontaminate, exact_dedup, html_main, language_id, license_scan, mixing, pii, simhash_dedup, url_filter
 from lodestone.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op5_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -68,6 +72,7 @@ QUERIES = {
         op2_decontamination,
         op4_language_id,
         op5_source_mix,
+        op6_personal_data,
         op7_url_filter,
         op8_exact_dedup,
         op9_simhash_dedup,
