@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import decontaminate, exact_dedup, html_main, language_id, license_scan, mixing, pii, simhash_dedup, url_filter
+from lodestone.llm import decontaminate, exact_dedup, html_main, language_id, license_scan, mixing, pii, simhash_dedup, suffix_dedup, url_filter
 from lodestone.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark, sf_dir):
     """Every document (host: its source) and every page (main text, markup language, host of its url)."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
@@ -70,6 +74,7 @@ QUERIES = {
     for f in (
         op1_html_main_text,
         op2_decontamination,
+        op3_suffix_dedup,
         op4_language_id,
         op5_source_mix,
         op6_personal_data,
