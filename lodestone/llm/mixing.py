@@ -152,7 +152,7 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     names = docs.columns
     taken = _rows(decide(units_of(docs))).select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size", "n", "whole", "more")])
     on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (word_count() == F.col("__size"))
-    met = docs.join(taken.filter("__whole + __more > 0"), on)
+    met = docs.join(taken.filter("__size > 0 AND __whole + __more > 0"), on)
     order = Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64(*[F.col(n) for n in names]))
     one = met.filter("__n = 1").withColumn("__i", F.lit(1))
     several = met.filter("__n > 1").withColumn("__i", F.row_number().over(order))

@@ -154,6 +154,12 @@ def _parts(h: np.ndarray, tasks: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(tasks)) >> np.uint64(32)).astype(np.int64)
 
 
+def _pieces(part: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of each run of equal task numbers."""
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    return list(zip(cuts, [*cuts[1:], len(part)], strict=True)) if cuts else []
+
+
 def repeated_anchors(docs: DataFrame, tasks: int) -> DataFrame:
     """doc, at, before, after of the anchors whose 32 bytes occur more than once."""
 
@@ -175,8 +181,7 @@ def repeated_anchors(docs: DataFrame, tasks: int) -> DataFrame:
             ask = np.where(first, h, (doc.astype(np.uint64) * np.uint64(_BASE)) ^ (at.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
             part = _parts(ask, tasks)
             by = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[by], prepend=-1))
-            rows = [by[a:b] for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True)]
+            rows = [by[a:b] for a, b in _pieces(part[by])]
             blobs = [_packed(h[r], doc[r], at[r], (at - lo)[r], (at - hi)[r], many[r]) for r in rows]
             return pa.RecordBatch.from_arrays([pa.array([int(part[r[0]]) for r in rows], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
@@ -361,13 +366,12 @@ def repeated_windows(docs: DataFrame, suspects: DataFrame, tasks: int) -> DataFr
             """Equal records of the batch are repeats already; the rest leaves in sorted runs."""
             records = sorted((key, left, *place) for (key, left), place in seen.items())
             part = _parts(np.array([int.from_bytes(r[0][:8], "big") for r in records], np.uint64), tasks)
-            cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-            blobs = [encoded_run(records[a:b]) for a, b in zip(cuts, [*cuts[1:], len(records)], strict=True)]
+            sent = [(int(part[a]), encoded_run(records[a:b])) for a, b in _pieces(part)]
             done = list(zip(*settled, strict=True)) if settled else [[]] * 4
             gone = struct.pack("<q", len(settled)) + b"".join(np.array(c, np.int64).tobytes() for c in done)
             seen.clear()
             settled.clear()
-            rows = [*((int(part[a]), b) for a, b in zip(cuts, blobs, strict=True)), (-1, gone)]
+            rows = [*sent, (-1, gone)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
 
         for batch in batches:
