@@ -45,13 +45,26 @@ def tenant_id(value: Column | str, prefix: str = fv.TENANT_PREFIX) -> Column:
     return F.when(F.lower(v).rlike(_UUID), _dashed(bare)).otherwise(_dashed(named))
 
 
+def joined_key(*parts) -> Column:
+    """The parts in one text that no other parts give: separators inside them are escaped, null is marked."""
+    def safe(part):
+        return F.coalesce(F.replace(F.replace(col(part).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\N"))
+
+    return F.concat_ws("|", *[safe(p) for p in parts])
+
+
+def ask_keys(*frames: DataFrame) -> list[str]:
+    """What names a query: its tenant as well, wherever all the frames carry it."""
+    return ["tenant_id", "query_id"] if all("tenant_id" in f.columns for f in frames) else ["query_id"]
+
+
 def artifact_id(tenant="tenant_id", source_kind="source_kind", external_id="external_id") -> Column:
-    return F.md5(F.concat_ws("|", col(tenant), col(source_kind), col(external_id)))
+    return F.md5(joined_key(tenant, source_kind, external_id))
 
 
 def chunk_id(artifact_id="artifact_id", content_hash="content_hash", ordinal="ordinal") -> Column:
     """Deterministic, and new whenever the artifact's content changes."""
-    return F.md5(F.concat_ws("|", col(artifact_id), col(content_hash), col(ordinal).cast("string")))
+    return F.md5(joined_key(artifact_id, content_hash, ordinal))
 
 
 def scoped(df: DataFrame, tenant: str | None, column: str = "tenant_id") -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone import fixed_values as fv
 from lodestone.functions import ids
@@ -79,6 +80,7 @@ def _flat(column) -> pa.Array:
 def _schema(queries: DataFrame, corpus: DataFrame, key: str, id_col: str) -> T.StructType:
     return T.StructType(
         [
+            T.StructField("tenant_id", corpus.schema["tenant_id"].dataType),
             T.StructField("query_id", queries.schema["query_id"].dataType),
             T.StructField(id_col, corpus.schema[id_col].dataType),
             T.StructField("score", T.DoubleType()),
@@ -87,7 +89,7 @@ def _schema(queries: DataFrame, corpus: DataFrame, key: str, id_col: str) -> T.S
 
 
 def _ranked(pairs: DataFrame, k: int, id_col: str) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
+    w = Window.partitionBy("tenant_id", "query_id").orderBy(F.desc("score"), F.asc(id_col))
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -102,8 +104,9 @@ def _scan(queries_rows, corpus: DataFrame, k: int, id_col: str, schema) -> DataF
     shared = corpus.sparkSession.sparkContext.broadcast(packed)
     arrow = pa.schema(
         [
-            ("query_id", _arrow_type(schema["query_id"].dataType)),
-            (id_col, _arrow_type(schema[id_col].dataType)),
+            ("tenant_id", to_arrow_type(schema["tenant_id"].dataType)),
+            ("query_id", to_arrow_type(schema["query_id"].dataType)),
+            (id_col, to_arrow_type(schema[id_col].dataType)),
             ("score", pa.float64()),
         ]
     )
@@ -124,8 +127,9 @@ def _scan(queries_rows, corpus: DataFrame, k: int, id_col: str, schema) -> DataF
                 )
         for tenant, pairs in best.items():
             names = pa.array(shared.value[tenant][0], type=arrow.field("query_id").type)
+            own = pa.array([tenant] * pairs.num_rows, type=arrow.field("tenant_id").type)
             table = pa.table(
-                [names.take(_flat(pairs["q"])), _flat(pairs["id"]), _flat(pairs["score"])], schema=arrow
+                [own, names.take(_flat(pairs["q"])), _flat(pairs["id"]), _flat(pairs["score"])], schema=arrow
             )
             yield from table.to_batches()
 
@@ -134,14 +138,6 @@ def _scan(queries_rows, corpus: DataFrame, k: int, id_col: str, schema) -> DataF
     return narrow.mapInArrow(run, schema)
 
 
-def _arrow_type(data_type):
-    return {
-        T.StringType(): pa.string(),
-        T.LongType(): pa.int64(),
-        T.IntegerType(): pa.int32(),
-    }[data_type]
-
-
 def blocked_topk(
     queries: DataFrame, corpus: DataFrame, k: int, keys: list[str], id_col: str,
     query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK,
@@ -169,13 +165,13 @@ def blocked_topk(
     )
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": q["query_id"][:0], id_col: c[id_col][:0], "score": pa.array([], pa.float64())})
+        empty = pa.table({"tenant_id": q["tenant_id"][:0], "query_id": q["query_id"][:0], id_col: c[id_col][:0], "score": pa.array([], pa.float64())})
         if q.num_rows == 0 or c.num_rows == 0:
             return empty
         matrix = _matrix(q["vector"])
         pairs = _merge(None, matrix, (matrix * matrix).sum(axis=1), _flat(c[id_col]), _matrix(c["vector"]), k)
         return pa.table(
-            {"query_id": q["query_id"].take(_flat(pairs["q"])), id_col: pairs["id"], "score": pairs["score"]}
+            {"tenant_id": pa.array([q["tenant_id"][0].as_py()] * pairs.num_rows, q["tenant_id"].type), "query_id": q["query_id"].take(_flat(pairs["q"])), id_col: pairs["id"], "score": pairs["score"]}
         )
 
     group = [*keys, "_qb", "_cb"]
@@ -230,14 +226,13 @@ def approximate_topk(
     q = hyperplane_buckets(queries.select("query_id", "tenant_id", "vector"), dim, tables, bits, seed)
     c = hyperplane_buckets(corpus.select("tenant_id", id_col, "vector"), dim, tables, bits, seed)
     pairs = blocked_topk(q, c, k, keys, id_col)
-    once = pairs.groupBy("query_id", id_col).agg(F.max("score").alias("score"))
+    once = pairs.groupBy("tenant_id", "query_id", id_col).agg(F.max("score").alias("score"))
     return _ranked(once, k, id_col)
 
 
 def recall_against(found: DataFrame, exact: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Mean share of the exact top-k that an approximate search found."""
-    hit = exact.select("query_id", id_col).join(
-        found.select("query_id", id_col, F.lit(1).alias("hit")), ["query_id", id_col], "left"
-    )
-    per_query = hit.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    keys = ids.ask_keys(found, exact)
+    hit = exact.select(*keys, id_col).join(found.select(*keys, id_col, F.lit(1).alias("hit")), [*keys, id_col], "left")
+    per_query = hit.groupBy(*keys).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
     return per_query.agg(F.avg("recall").alias("recall"), F.count("*").alias("n_queries"))

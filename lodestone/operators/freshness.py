@@ -25,7 +25,7 @@ def set_freshness(stored: DataFrame, updates: DataFrame, now: Column) -> DataFra
         *KEY,
         F.when(touched, F.col("u.state")).otherwise(F.col("state")).alias("state"),
         F.when(touched, F.col("u.reason")).otherwise(F.col("reason")).alias("reason"),
-        F.when(F.col("last_validated_at").isNull() | (touched & F.col("_validated")), now)
+        F.when(touched & (F.col("last_validated_at").isNull() | F.col("_validated")), now)
         .otherwise(F.col("last_validated_at"))
         .alias("last_validated_at"),
         F.coalesce("_ttl", "ttl_seconds").alias("ttl_seconds"),

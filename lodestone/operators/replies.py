@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone import fixed_values as fv
+from lodestone.session import cut_lineage
 
 
 def best_effort(fn, value: Column | str) -> Column:
@@ -36,8 +37,11 @@ def best_effort(fn, value: Column | str) -> Column:
 
 
 def apply_model(df: DataFrame, prompt: Column, fn) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``reply``, rows with ``error``) after one batched model call per row."""
-    called = df.withColumn("_r", best_effort(fn, prompt))
+    """(rows with ``reply``, rows with ``error``) after one batched model call per row.
+
+    The replies are written once to the shared folder; both results read them there.
+    """
+    called = cut_lineage(df.withColumn("_r", best_effort(fn, prompt)))
     done = called.filter(F.col("_r.error").isNull()).withColumn("reply", F.col("_r.result")).drop("_r")
     failed = called.filter(F.col("_r.error").isNotNull()).withColumn("error", F.col("_r.error")).drop("_r")
     return done, failed

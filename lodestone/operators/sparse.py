@@ -250,10 +250,10 @@ def sparse_topk(
 ) -> DataFrame:
     """Top-k full-text hits per query within its tenant; ties go to the smaller id."""
     chunks = ids.of_kinds(chunks, source_kinds)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
+    w = Window.partitionBy("tenant_id", "query_id").orderBy(F.desc("score"), F.asc(id_col))
     return (
         sparse_matches(queries, chunks, id_col=id_col, **options)
-        .select("query_id", id_col, "score")
+        .select("tenant_id", "query_id", id_col, "score")
         .withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= k)
     )

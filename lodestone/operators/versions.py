@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import fixed_values as fv
+from lodestone.functions.ids import joined_key
 from lodestone.functions.text import coverage, salient
 
 STEPS = (
@@ -17,7 +18,7 @@ VERSIONS = f"tenant_id string, process_id string, version bigint, trigger string
 
 
 def process_id(tenant: str = "tenant_id", name: str = "name") -> Column:
-    return F.md5(F.concat_ws("|", F.col(tenant), F.col(name)))
+    return F.md5(joined_key(tenant, name))
 
 
 def _body_hash() -> Column:

@@ -171,7 +171,7 @@ heads_v AS (SELECT artifact_id, array_to_string(hw[1:12], ' ') || CASE WHEN len(
   FROM (SELECT artifact_id, list_filter(regexp_split_to_array(regexp_replace(
            coalesce(list_filter(regexp_split_to_array(content, '\r\n|\n|\r'), lambda l: trim(l, chr(32) || chr(9)) <> '')[1], ''),
            '^\s*#+', ''), '\s+'), lambda w: w <> '') AS hw FROM artifacts)),
-procs AS (SELECT s.tenant_id, h.name, artifact_id, count(*) AS n_steps, md5(s.tenant_id || '|' || h.name) AS process_id,
+procs AS (SELECT s.tenant_id, h.name, artifact_id, count(*) AS n_steps, md5(s.tenant_id || '|' || replace(replace(h.name, '\', '\\'), '|', '\|')) AS process_id,
    row_number() OVER (PARTITION BY s.tenant_id, h.name ORDER BY artifact_id) AS version FROM steps s JOIN heads_v h USING (artifact_id) GROUP BY 1, 2, 3),
 heads AS (SELECT tenant_id, name, process_id, max(version) AS current_version, CASE WHEN max(version) = 1 THEN 'active' ELSE 'draft' END AS status,
    CASE WHEN max(version) = 1 THEN 'fresh' ELSE 'stale' END AS freshness, max_by(artifact_id, version) AS artifact_id FROM procs GROUP BY 1, 2, 3)"""

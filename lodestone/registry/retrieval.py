@@ -304,7 +304,7 @@ def first_list_wins(spark, sf):
     dense, sparse = legs(spark, sf)
     return fusion.first_list_wins(
         [dense.withColumn("leg", F.lit("dense")), sparse.withColumn("leg", F.lit("sparse"))], ["leg"]
-    )
+    ).drop("tenant_id")
 
 
 RERANK_SQL = rf"""
@@ -370,13 +370,16 @@ n_rel AS (SELECT query_id, count(*) AS n FROM labels_v GROUP BY 1)"""
 METRICS_SQL = (
     r"""
 found AS (SELECT l.query_id, l.chunk_id, f.rank FROM labels_v l LEFT JOIN (SELECT * FROM fused WHERE rank <= 20) f USING (query_id, chunk_id)),
-per_query AS (SELECT query_id, coalesce(1.0 / min(rank), 0) AS mrr"""
+labelled AS (SELECT query_id, coalesce(1.0 / min(rank), 0) AS mrr"""
     + "".join(
         f""", count(*) FILTER (rank <= {k}) / count(*) AS recall_at_{k},
       coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= {k}), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(count(*), {k}) + 1) r(i)) AS ndcg_at_{k}"""
         for k in (5, 10, 20)
     )
-    + " FROM found GROUP BY query_id)"
+    + " FROM found GROUP BY query_id),\n"
+    + "per_query AS (SELECT item_id AS query_id, coalesce(mrr, 0) AS mrr"
+    + "".join(f", coalesce({m}_at_{k}, 0) AS {m}_at_{k}" for k in (5, 10, 20) for m in ("recall", "ndcg"))
+    + " FROM benchmark LEFT JOIN labelled ON labelled.query_id = item_id)"
 )
 METRICS_SQL = METRICS_SQL.replace(
     "(SELECT sum(1 / log2(i + 1)) FROM range(1, least(count(*), 5) + 1) r(i))", "list_sum(list_transform(range(1, least(count(*), 5) + 1), lambda i: 1 / log2(i + 1)))"
@@ -390,8 +393,9 @@ EVAL_SQL = f"{HYBRID_SQL}, {LABELS_SQL}, {METRICS_SQL}"
 
 def evaluated(spark, sf):
     chunks = V.embedded(V.corpus_chunks(spark, sf))
-    hits = hybrid_search(plain_queries(spark, sf), chunks, 20, config="simple")
-    return E.query_metrics(hits, passage_labels(spark, sf, chunks))
+    asked = plain_queries(spark, sf)
+    hits = hybrid_search(asked, chunks, 20, config="simple")
+    return E.unlabelled(E.query_metrics(hits, passage_labels(spark, sf, chunks)), asked.select("query_id"))
 
 
 @query("evl_01_recall", f"WITH {EVAL_SQL} SELECT query_id, round(recall_at_5, 6) AS recall_at_5, round(recall_at_10, 6) AS recall_at_10 FROM per_query")
@@ -446,12 +450,13 @@ def embedder(spark, sf):
 def sparse_metrics(spark, sf):
     """The full-text leg alone, as a second run to compare with."""
     chunks = V.corpus_chunks(spark, sf)
-    hits = S.sparse_topk(plain_queries(spark, sf), chunks, 20, config="simple")
-    return E.query_metrics(hits, passage_labels(spark, sf, chunks))
+    asked = plain_queries(spark, sf)
+    hits = S.sparse_topk(asked, chunks, 20, config="simple")
+    return E.unlabelled(E.query_metrics(hits, passage_labels(spark, sf, chunks)), asked.select("query_id"))
 
 
 TWO_RUNS_SQL = f"""{EVAL_SQL}, found2 AS (SELECT l.query_id, l.chunk_id, s.rank FROM labels_v l LEFT JOIN (SELECT * FROM sparse WHERE rank <= 20) s USING (query_id, chunk_id)),
-{METRICS_SQL[METRICS_SQL.index('per_query'):].replace('per_query', 'per_query2').replace('FROM found ', 'FROM found2 ')},
+{METRICS_SQL[METRICS_SQL.index('labelled AS'):].replace('per_query', 'per_query2').replace('labelled', 'labelled2').replace('FROM found ', 'FROM found2 ')},
 cur AS ({LONG_SQL.replace('round(avg(value), 6)', 'avg(value)')}), prev AS ({LONG_SQL.replace('round(avg(value), 6)', 'avg(value)').replace('per_query', 'per_query2')})"""
 
 

@@ -51,11 +51,17 @@ def pinned_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh local one only when unset (tests)."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a local session (tests) gets a fresh folder; on a cluster
+    that is an error, since executors would each write to their own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return base

@@ -17,34 +17,34 @@ def retrieval_report(deltas: DataFrame, worst: DataFrame, mode: str, split: str,
     """
     spark = deltas.sparkSession
     head = [
-        f"# Retrieval eval — {mode} / {split} split", "", f"Ran {ran_at} over {n_queries} queries.", "",
-        "| metric | value | Δ vs last |", "|---|---:|---:|",
+        f"# Search quality: {mode} search, {split} queries", "", f"{n_queries} queries, measured {ran_at}", "",
+        "| measure | now | change since the run before |", "|:--|--:|--:|",
     ]
-    fixed = [(f"0-{i}", t) for i, t in enumerate(head)] + [("2-0", ""), ("2-1", "## Worst queries (by MRR)"), ("2-2", "")]
+    fixed = [(f"0-{i}", t) for i, t in enumerate(head)] + [("2-0", ""), ("2-1", "## Queries whose first relevant hit comes last"), ("2-2", "")]
     rows = deltas.select(
         F.concat(F.lit("1-"), "metric").alias("line_no"),
-        F.concat(F.lit("| "), "metric", F.lit(" | "), F.format_string("%.4f", "value"), F.lit(" | "), F.coalesce(_signed("delta"), F.lit("—")), F.lit(" |")).alias("line"),
+        F.concat(F.lit("| "), "metric", F.lit(" | "), F.format_string("%.4f", "value"), F.lit(" | "), F.coalesce(_signed("delta"), F.lit("new")), F.lit(" |")).alias("line"),
     )
     tail = worst.select(
         F.format_string("3-%03d", "rank").alias("line_no"),
-        F.concat(F.lit("- `"), "query", F.lit("` — mrr "), F.format_string("%.2f", "mrr")).alias("line"),
+        F.concat(F.lit("1. "), F.format_string("%.2f", "mrr"), F.lit(": "), "query").alias("line"),
     )
     return spark.createDataFrame(fixed, "line_no string, line string").unionByName(rows).unionByName(tail)
 
 
 def ab_report(deltas: DataFrame, verdict: DataFrame) -> DataFrame:
     """Markdown lines of the A/B comparison."""
-    title = F.when(F.col("passed"), "SHIP ✅").otherwise("DO NOT SHIP ❌")
+    title = F.when(F.col("passed"), "adopt the candidate").otherwise("keep the base model")
     head = verdict.select(
         F.posexplode(
-            F.array(F.concat(F.lit("# Embedding A/B — base vs fine-tuned ("), title, F.lit(")")), F.lit(""), F.lit("| metric | base | fine-tuned | Δ |"), F.lit("|---|---:|---:|---:|"))
+            F.array(F.concat(F.lit("# Two embedders compared: "), title), F.lit(""), F.lit("| measure | base | candidate | change |"), F.lit("|:--|--:|--:|--:|"))
         ).alias("n", "line")
     ).select(F.format_string("0-%d", "n").alias("line_no"), "line")
     body = deltas.select(
         F.concat(F.lit("1-"), "metric").alias("line_no"),
         F.concat(F.lit("| "), "metric", F.lit(" | "), F.format_string("%.4f", "base"), F.lit(" | "), F.format_string("%.4f", "candidate"), F.lit(" | "), _signed("delta"), F.lit(" |")).alias("line"),
     )
-    listed = F.concat(F.array(F.lit(""), F.lit("## Failed thresholds")), F.transform("reasons", lambda r: F.concat(F.lit("- "), r)))
+    listed = F.concat(F.array(F.lit(""), F.lit("## Gains that were too small")), F.transform("reasons", lambda r: F.concat(F.lit("- "), r)))
     tail = verdict.filter(F.size("reasons") > 0).select(F.posexplode(listed).alias("n", "line")).select(F.format_string("2-%03d", "n").alias("line_no"), "line")
     return head.unionByName(body).unionByName(tail)
 

@@ -96,7 +96,7 @@ def test_routing(spark):
     )
     tasks = spark.createDataFrame([(1, "t", "refund", 750.0), (2, "t", "refund", 500.0), (3, "t", "other", 1.0), (4, "u", "refund", 1.0)], "task_id int, tenant_id string, type string, amount_usd double")
     got = {r.task_id: (r.actor, r.reason) for r in S.route_tasks(tasks, skills).collect()}
-    assert got == {1: ("cfo", ""), 2: ("agent", ""), 3: (None, "unsupported task: 'other'"), 4: (None, "no refund skill in the skills file")}
+    assert got == {1: ("cfo", ""), 2: ("agent", ""), 3: (None, "nothing handles tasks of type other"), 4: (None, "the tenant has no skill about refund")}
 
 
 def test_gate_canary(spark):
