@@ -321,17 +321,19 @@ def match(spark, sf):
 @query(
     "srv_04_ask",
     f"""WITH {MATCH_SQL}, a AS (SELECT artifact_id, md5(string_agg(s, chr(10) ORDER BY ordinal)) AS answer, count(*) AS n FROM steps GROUP BY 1)
-    SELECT b.query_id, a.answer, a.n::BIGINT AS n_citations, 'process:' || b.process_id || '@v1' AS used FROM best b JOIN a USING (artifact_id)""",
+    SELECT q.query_id, a.answer, a.n::BIGINT AS n_citations, 'process:' || b.process_id || '@v1' AS used
+    FROM q LEFT JOIN best b USING (query_id) LEFT JOIN a USING (artifact_id)""",
 )
 def ask(spark, sf):
-    """Questions grounded in a process (the others fall back to the hits)."""
+    """Every question; the answer of those grounded in a process, null where the hits answer."""
     from lodestone.plans.search import hybrid_search
 
     asked = tenant_queries(spark, sf)
     hits = hybrid_search(asked, V.embedded(V.chunks(spark, sf)), 8)
     out = S.ask(asked, hits, S.process_bodies(*first_state(spark, sf)))
-    return out.filter(F.size("used_processes") > 0).select(
-        "query_id", F.md5("answer").alias("answer"), F.size("citations").cast("long").alias("n_citations"), F.get("used_processes", F.lit(0)).alias("used")
+    grounded = F.size("used_processes") > 0
+    return out.select(
+        "query_id", F.when(grounded, F.md5("answer")).alias("answer"), F.when(grounded, F.size("citations")).cast("long").alias("n_citations"), F.get("used_processes", F.lit(0)).alias("used")
     )
 
 

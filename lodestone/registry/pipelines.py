@@ -145,15 +145,18 @@ def wiki(spark, sf):
 
 @query(
     "src_07_poll",
-    """WITH c AS (SELECT user_id, median(epoch_us(ts)) AS m, min(ts) AS since FROM events WHERE event_type = 'purchase' GROUP BY 1)
-    SELECT event_id FROM events LEFT JOIN c USING (user_id) WHERE since IS NULL OR ts >= since""",
+    """WITH c AS (SELECT user_id, min(ts) AS since FROM events WHERE event_type = 'purchase' GROUP BY 1 UNION ALL SELECT -1, TIMESTAMP '2024-01-01')
+    SELECT event_id, user_id, NULL::BIGINT AS since FROM events LEFT JOIN c USING (user_id) WHERE since IS NULL OR ts >= since
+    UNION ALL SELECT NULL, user_id, 1704067200 FROM (SELECT user_id FROM events UNION SELECT user_id FROM c)""",
 )
 def poll(spark, sf):
-    """Events at or past each user's first purchase."""
+    """Events at or past each user's first purchase, and the next cursors; one cursor's user brings nothing."""
     events = V.table(spark, sf, "events")
     cursors = events.filter("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("since"))
-    fresh, _ = I.poll(events, cursors, ["user_id"], "ts", F.current_timestamp())
-    return fresh.select("event_id")
+    idle = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.timestamp_seconds(F.lit(V.EPOCH)).alias("since"))
+    fresh, after = I.poll(events, cursors.unionByName(idle), ["user_id"], "ts", F.timestamp_seconds(F.lit(V.EPOCH)))
+    none = F.lit(None).cast("long")
+    return fresh.select("event_id", "user_id", none.alias("since")).unionByName(after.select(none.alias("event_id"), "user_id", F.unix_timestamp("since").alias("since")))
 
 
 @query(

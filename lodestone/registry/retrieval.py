@@ -29,9 +29,13 @@ def query(name: str, sql: str | None = None):
 
 
 def plain_queries(spark, sf):
-    """Passages reduced to their words, without the operator word ``or``."""
-    tokens = F.array_remove(X.fulltext_tokens("query"), "or")
-    return V.queries(spark, sf).withColumn("query", F.array_join(tokens, " "))
+    """Passages reduced to their words."""
+    return V.queries(spark, sf).withColumn("query", bare_words(X.fulltext_tokens("query")))
+
+
+def bare_words(tokens):
+    """Words to be and-ed; a literal ``or`` is quoted, since bare it is an operator."""
+    return F.array_join(F.transform(tokens, lambda t: F.when(t == "or", '"or"').otherwise(t)), " ")
 
 
 def passage_labels(spark, sf, chunks):
@@ -141,19 +145,22 @@ words AS (SELECT chunk_id, source_kind, x.t AS term, x.p AS pos FROM (
    SELECT chunk_id, source_kind, unnest(list_transform(regexp_extract_all(lower(text), '{TOKENS}'), lambda t, i: {{'t': t, 'p': i - 1}})) AS x FROM chunks))"""
 
 WEB_SQL = rf"""
-toks AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '{TOKENS}'), lambda t: t <> 'or') AS t FROM benchmark),
+toks AS (SELECT item_id, t, CAST(ceil(len(t) / 2.0) AS BIGINT) AS h FROM (
+  SELECT item_id, regexp_extract_all(lower(text), '{TOKENS}') AS t FROM benchmark)),
 items AS (
-  SELECT item_id * 10 AS query_id, 0 AS grp, unnest([t[1], t[2]]) AS term, FALSE AS neg FROM toks
-  UNION ALL SELECT item_id * 10 + 2, 0, t[1], FALSE FROM toks
-  UNION ALL SELECT item_id * 10 + 2, 1, t[3], FALSE FROM toks
-  UNION ALL SELECT item_id * 10 + 3, 0, t[3], FALSE FROM toks
+  SELECT item_id * 10 AS query_id, 0 AS grp, unnest(t) AS term, FALSE AS neg FROM toks
+  UNION ALL SELECT item_id * 10 + 2, 0, unnest(t[1:h]), FALSE FROM toks
+  UNION ALL SELECT item_id * 10 + 2, 1, unnest(t[h + 1:]), FALSE FROM toks
+  UNION ALL SELECT item_id * 10 + 3, 0, unnest(t[h + 1:]), FALSE FROM toks
   UNION ALL SELECT item_id * 10 + 3, 0, t[1], TRUE FROM toks),
 bare AS (SELECT DISTINCT query_id, grp, term, neg FROM items),
 occ AS (
   SELECT b.query_id, w.chunk_id, b.grp, b.term AS item, b.neg, w.pos AS s, w.pos AS e, 1 AS n FROM bare b JOIN words w USING (term)
   UNION ALL
-  SELECT k.item_id * 10 + 1, a.chunk_id, 0, 'phrase', FALSE, a.pos, a.pos + 1, 2
-  FROM toks k JOIN words a ON a.term = k.t[1] JOIN words b ON b.chunk_id = a.chunk_id AND b.pos = a.pos + 1 AND b.term = k.t[2])"""
+  SELECT item_id * 10 + 1, chunk_id, 0, 'phrase', FALSE, s, s + n - 1, n FROM (
+    SELECT k.item_id, w.chunk_id, w.pos - k.i AS s, max(k.n) AS n
+    FROM (SELECT item_id, unnest(t) AS term, unnest(range(len(t))) AS i, len(t) AS n FROM toks) k JOIN words w USING (term)
+    GROUP BY 1, 2, 3 HAVING count(*) = max(k.n)))"""
 
 COVER_SQL = r"""
 need AS (SELECT query_id, grp, count(DISTINCT term) FILTER (NOT neg) AS need FROM bare GROUP BY 1, 2
@@ -176,14 +183,15 @@ scored AS (SELECT query_id, chunk_id, CAST(CAST(sum(0.1::DOUBLE / (1 + greatest(
 
 
 def web_queries(spark, sf):
-    """Per passage: two words and-ed, as a phrase, as alternatives, and one excluding another."""
-    t = F.array_remove(X.fulltext_tokens("query"), "or")
-    one, two, three = (F.get(t, F.lit(i)) for i in range(3))
+    """Per passage: all its words and-ed, as a phrase, its halves as alternatives, and the later half without the first word."""
+    t = X.fulltext_tokens("query")
+    h = F.ceil(F.size(t) / 2).cast("int")
+    early, late = F.slice(t, F.lit(1), h), F.slice(t, h + 1, F.size(t))
     forms = [
-        F.concat_ws(" ", one, two),
-        F.concat(F.lit('"'), one, F.lit(" "), two, F.lit('"')),
-        F.concat_ws(" OR ", one, three),
-        F.concat(three, F.lit(" -"), one),
+        bare_words(t),
+        F.concat(F.lit('"'), F.array_join(t, " "), F.lit('"')),
+        F.concat_ws(" OR ", bare_words(early), bare_words(late)),
+        F.concat_ws(" -", bare_words(late), bare_words(F.slice(t, 1, 1))),
     ]
     return (
         V.queries(spark, sf)
@@ -224,8 +232,7 @@ def cover_density(spark, sf):
 @query(
     "spr_05_bm25",
     f"""WITH {V.CORPUS_CHUNKS_SQL}, {WORDS_SQL},
-    q AS (SELECT DISTINCT item_id AS query_id, unnest([t[1], t[2]]) AS term FROM (
-        SELECT item_id, list_filter(regexp_extract_all(lower(text), '{TOKENS}'), lambda t: t <> 'or') AS t FROM benchmark)),
+    q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{TOKENS}')) AS term FROM benchmark),
     tf AS (SELECT query_id, chunk_id, term, count(*) AS tf FROM q JOIN words USING (term) GROUP BY 1, 2, 3),
     df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY 1, 2),
     len AS (SELECT c.chunk_id, coalesce(n, 0) AS n FROM chunks c LEFT JOIN (SELECT chunk_id, count(*) AS n FROM words GROUP BY 1) USING (chunk_id)),
@@ -267,7 +274,7 @@ dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY quer
    QUALIFY rank <= 50)"""
 
 PASSAGE_SQL = rf"""
-toks AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '{TOKENS}'), lambda t: t <> 'or') AS t FROM benchmark),
+toks AS (SELECT item_id, regexp_extract_all(lower(text), '{TOKENS}') AS t FROM benchmark),
 bare AS (SELECT DISTINCT item_id AS query_id, 0 AS grp, unnest(t) AS term, FALSE AS neg FROM toks),
 occ AS (SELECT b.query_id, w.chunk_id, b.grp, b.term AS item, b.neg, w.pos AS s, w.pos AS e, 1 AS n FROM bare b JOIN words w USING (term)),
 """
