@@ -44,7 +44,13 @@ def source_kinds(spark, sf):
     return ids.of_kinds(V.artifacts(spark, sf), ["notion", "gmail"]).select("source_kind", "external_id")
 
 
-@query("prj_03_tenant_id")
+@query(
+    "prj_03_tenant_id",
+    f"""WITH h AS (SELECT source, sha1(unhex('{X.fv.DNS_NAMESPACE.replace("-", "")}') || encode('{X.fv.TENANT_PREFIX}' || source)) AS d FROM (SELECT DISTINCT source FROM documents))
+    SELECT source, d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' ||
+      CASE WHEN d[17] IN ('0', '4', '8', 'c') THEN '8' WHEN d[17] IN ('1', '5', '9', 'd') THEN '9' WHEN d[17] IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END ||
+      d[18:20] || '-' || d[21:32] AS tenant_id FROM h""",
+)
 def tenant_id(spark, sf):
     return V.documents(spark, sf).select("source").distinct().select("source", ids.tenant_id("source").alias("tenant_id"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import times
@@ -9,14 +11,23 @@ from lodestone.functions import text as X
 from lodestone.operators import flow as FL
 from lodestone.operators import replies as R
 from lodestone.operators import training as TR
+from lodestone.operators import serving as SV
+from lodestone.registry import retrieval as RT
 from lodestone.registry import views as V
+from lodestone.session import shared_dir
 from lodestone.sources import incremental as I
 from lodestone.sources import normalize as N
+from lodestone.sources import sinks
 from lodestone.streaming import jobs as J
 
 QUERIES, SQL = {}, {}
 
 
+def fresh_path(spark, name):
+    """A new path in the shared folder, for what a query writes and reads back."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def query(name: str, sql: str | None = None):
     def keep(fn):
         QUERIES[name] = fn
@@ -380,3 +391,72 @@ def admitted(spark, sf):
     rows = stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.lit(1.0).alias("cost"))
     out = J.drain(J.admitted(rows, 3, 0.00001), "admitted")
     return out.select("event_id", "allowed", F.round("retry_after", 3).alias("retry_after"))
+
+
+# --- golden sets, example files and sinks ------------------------------------------
+
+
+@query(
+    "src_10_retrieval_golden",
+    f"""WITH {V.CORPUS_CHUNKS_SQL}, {RT.LABELS_SQL}
+    SELECT query_id::VARCHAR AS query, 'test' AS split, external_id, ordinal::BIGINT AS ordinal FROM labels_v JOIN chunks USING (chunk_id) WHERE query_id % 3 > 0""",
+)
+def retrieval_golden(spark, sf):
+    """Passages with the chunks that quote them, written as lines (one blank, some without a split), read and cut to a split."""
+    chunks = V.corpus_chunks(spark, sf)
+    found = RT.passage_labels(spark, sf, chunks).join(chunks, "chunk_id")
+    pair = F.array("external_id", F.col("ordinal").cast("string"))
+    rows = found.groupBy("query_id").agg(F.collect_list(pair).alias("relevant"))
+    split = F.when(F.col("query_id") % 3 == 0, "train").when(F.col("query_id") % 3 == 1, "test")
+    lines = rows.select(F.to_json(F.struct(F.col("query_id").cast("string").alias("query"), "relevant", split.alias("split"))).alias("value"))
+    path = fresh_path(spark, "golden")
+    lines.unionByName(spark.range(1).select(F.lit("").alias("value"))).write.text(path)
+    test = I.golden_split(I.load_golden(spark, path), "test")
+    return test.select("query", "split", F.explode("relevant").alias("r")).select("query", "split", "r.external_id", "r.ordinal")
+
+
+@query(
+    "src_10_process_golden",
+    "SELECT source AS name_contains, count(DISTINCT lang)::BIGINT AS n_steps, min(lang) AS first_actor FROM documents GROUP BY 1",
+)
+def process_golden(spark, sf):
+    """Sources as processes and languages as their steps and actors, written as lines and read back."""
+    langs = F.sort_array(F.collect_set("lang"))
+    rows = V.documents(spark, sf).groupBy(F.col("source").alias("name_contains")).agg(langs.alias("steps"), langs.alias("actors"))
+    path = fresh_path(spark, "processes")
+    rows.select(F.to_json(F.struct("name_contains", "steps", "actors")).alias("value")).write.text(path)
+    read = I.load_process_golden(spark, path)
+    return read.select("name_contains", F.size("steps").cast("long").alias("n_steps"), F.get("actors", F.lit(0)).alias("first_actor"))
+
+
+@query(
+    "src_11_example_files",
+    "SELECT lang || ':' || source AS query, md5(text) AS positive, 1::BIGINT AS n_negatives FROM documents",
+)
+def example_files(spark, sf):
+    """Every document as a training example, written as lines and read back whole."""
+    rows = V.documents(spark, sf).select(F.concat_ws(":", "lang", "source").alias("query"), F.col("text").alias("positive"), F.array("source").alias("negatives"))
+    path = fresh_path(spark, "examples")
+    I.write_training_examples(rows, path)
+    read = I.load_training_examples(spark, path)
+    return read.select("query", F.md5("positive").alias("positive"), F.size("negatives").cast("long").alias("n_negatives"))
+
+
+@query(
+    "src_13_skills_sink",
+    """SELECT c_nationkey::VARCHAR AS tenant_id, 1::BIGINT AS line_no, 'refund ' || c_name AS name, NULL::BIGINT AS fresh FROM customer
+    UNION ALL SELECT c_nationkey::VARCHAR, 0, NULL, count(*) FROM customer GROUP BY 1""",
+)
+def skills_sink(spark, sf):
+    """One skill per customer, written as JSON lines in tenant folders under a manifest line, and read back."""
+    steps = F.array(F.struct(F.lit("check").alias("action"), F.lit(None).cast("string").alias("actor")))
+    named = V.table(spark, sf, "customer").select(
+        F.col("c_nationkey").cast("string").alias("tenant_id"), F.concat(F.lit("refund "), "c_name").alias("name"), F.lit("t").alias("trigger"),
+        F.lit(1).alias("version"), F.lit("fresh").alias("freshness"), steps.alias("steps"),
+    )
+    path = fresh_path(spark, "skills")
+    sinks.write_skills(SV.skills_lines(named, SV.freshness_manifest(named), "2024-01-31"), path)
+    line = F.from_json("value", "name string, freshness_manifest struct<fresh: bigint>")
+    read = spark.read.schema("value string, tenant_id string").text(path).withColumn("j", line)
+    head = F.col("j.freshness_manifest").isNotNull()
+    return read.select("tenant_id", F.when(head, 0).otherwise(1).cast("long").alias("line_no"), "j.name", "j.freshness_manifest.fresh")

@@ -23,7 +23,7 @@ def retrieval_report(deltas: DataFrame, worst: DataFrame, mode: str, split: str,
     fixed = [(f"0-{i}", t) for i, t in enumerate(head)] + [("2-0", ""), ("2-1", "## Queries whose first relevant hit comes last"), ("2-2", "")]
     rows = deltas.select(
         F.concat(F.lit("1-"), "metric").alias("line_no"),
-        F.concat(F.lit("| "), "metric", F.lit(" | "), F.format_string("%.4f", "value"), F.lit(" | "), F.coalesce(_signed("delta"), F.lit("new")), F.lit(" |")).alias("line"),
+        F.concat(F.lit("| "), "metric", F.lit(" | "), F.format_string("%.4f", "value"), F.lit(" | "), F.when(F.col("delta").isNull(), "new").otherwise(_signed("delta")), F.lit(" |")).alias("line"),
     )
     tail = worst.select(
         F.format_string("3-%03d", "rank").alias("line_no"),

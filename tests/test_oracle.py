@@ -3,10 +3,24 @@
 import pytest
 
 import __spark_entry__ as entry
+from lodestone import registry
 from tools.check import compare, oracle
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
+NAMES = sorted(registry.queries())
+
+
+#: Queries that plain SQL cannot tell, and what tests them instead.
+WITHOUT_SQL = {
+    "emb_02_model_embedder": "a stand-in model; test_search",
+    "emb_05_approximate_recall": "reports its own recall against the exact search",
+    "spr_02_english_terms": "the stemmer; test_search",
+    "kg_02_relations": "cue patterns; test_knowledge",
+    "ver_04_contradictions": "test_knowledge",
+    "evl_10_step_precision_recall": "test_knowledge",
+    "evl_11_actor_accuracy": "test_knowledge",
+    "str_03_expiring": "timers of a stream",
+}
 
 
 @pytest.fixture(scope="module")
@@ -15,10 +29,12 @@ def con():
 
 
 def test_every_sql_has_a_query():
-    assert set(entry.oracle_sql()) <= set(NAMES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(NAMES) - set(registry.sql()) <= set(WITHOUT_SQL)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
-    ok, note, *_ = compare(spark, con, SF, entry.queries()[name], entry.oracle_sql().get(name))
+    ok, note, *_ = compare(spark, con, SF, registry.queries()[name], registry.sql().get(name))
     assert ok is not False, note
+    assert ok or name in WITHOUT_SQL
