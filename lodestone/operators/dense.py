@@ -26,6 +26,7 @@ from lodestone.functions import ids
 QUERY_BOUND = 4096
 QUERY_BLOCK = 2048
 CORPUS_BLOCK = 16384
+LSH_BUCKET = 512
 _CELLS = 8_000_000
 
 
@@ -219,9 +220,14 @@ def hyperplane_buckets(df: DataFrame, dim: int, tables: int = 8, bits: int = 8,
 
 def approximate_topk(
     queries: DataFrame, corpus: DataFrame, k: int, dim: int,
-    tables: int = 8, bits: int = 8, seed: int = 42, id_col: str = "chunk_id",
+    tables: int = 8, bits: int | None = None, seed: int = 42, id_col: str = "chunk_id",
 ) -> DataFrame:
-    """Top-k among vectors that share a bucket with the query, exactly re-scored."""
+    """Top-k among vectors that share a bucket with the query, exactly re-scored.
+
+    Without ``bits``, as many hyperplanes are taken as keep an evenly filled
+    bucket at about ``LSH_BUCKET`` vectors, whatever the corpus size.
+    """
+    bits = bits if bits is not None else max(1, (corpus.count() // LSH_BUCKET).bit_length())
     keys = ["tenant_id", "lsh_table", "bucket"]
     q = hyperplane_buckets(queries.select("query_id", "tenant_id", "vector"), dim, tables, bits, seed)
     c = hyperplane_buckets(corpus.select("tenant_id", id_col, "vector"), dim, tables, bits, seed)

@@ -355,20 +355,28 @@ def stream(spark, sf, name):
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
 
 
-@query("str_01_ingest", f"WITH {V.ARTIFACT_CHUNKS_SQL} SELECT artifact_id, count(*)::BIGINT AS n FROM chunks GROUP BY 1")
-def ingest(spark, sf):
-    import uuid
+LATER = "CASE WHEN doc_id % 10 = 0 THEN text || ' Changed since.' ELSE text END"
 
-    from lodestone.session import shared_dir
 
+@query(
+    "str_01_ingest",
+    f"""WITH {V.ARTIFACT_CHUNKS_SQL.replace("text AS content, 1704067200 + doc_id AS created_s", LATER + " AS content, doc_id % 10 = 0 AS moved")}
+    SELECT artifact_id, content_hash, count(*)::BIGINT AS n, 1 + bool_or(moved)::BIGINT AS n_stored FROM chunks GROUP BY 1, 2""",
+)
+def ingest(spark, sf):
+    """Two feeds of all documents, a tenth of them changed in the second: live chunks, and how often an artifact was stored."""
     events = stream(spark, sf, "documents").select(
         F.col("source").alias("tenant_id"), V._by_lang("notion", "file", "gmail", "linear").alias("source_kind"),
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("external_id"), V._by_lang("page", "doc", "email", "issue").alias("kind"),
-        F.col("text").alias("content"), F.lit("backfill").alias("lane"), F.col("doc_id").alias("seq"),
+        F.col("text").alias("content"), F.lit("backfill").alias("lane"), F.col("doc_id").alias("seq"), "doc_id",
     )
-    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    J.start_ingest(events, base, f"{base}/ckpt").awaitTermination()
-    return spark.read.parquet(f"{base}/chunks").groupBy("artifact_id").agg(F.count("*").alias("n"))
+    base = fresh_path(spark, "ingest")
+    later = events.withColumn("content", F.when(F.col("doc_id") % 10 == 0, F.concat("content", F.lit(" Changed since."))).otherwise(F.col("content")))
+    for feed, rows in (("first", events), ("later", later)):
+        J.start_ingest(rows.drop("doc_id"), base, f"{base}/ckpt-{feed}", feed).awaitTermination()
+    chunks = J.live_chunks(spark, base).groupBy("artifact_id", "content_hash").agg(F.count("*").alias("n"))
+    stored = spark.read.parquet(f"{base}/artifacts").groupBy("artifact_id").agg(F.count("*").alias("n_stored"))
+    return chunks.join(stored, "artifact_id")
 
 
 @query("str_02_changed_only", "SELECT md5(text) AS artifact_key, 'sha256:' || sha256(text) AS content_hash, 'insert' AS change FROM documents GROUP BY ALL")
