@@ -28,19 +28,20 @@ def step_coverage(steps: DataFrame, chunks: DataFrame, same_artifact: bool = Tru
     """Add ``coverage`` and ``all_found``: how far the cited chunks support each action.
 
     With ``same_artifact`` a citation outside the step's own artifact counts as
-    missing text.
+    missing text.  A chunk's words are met where the chunk is; only those that the
+    action has as well travel on.
     """
     keys = ["artifact_id", "ordinal"]
-    cited = steps.select("tenant_id", *keys, F.explode_outer("citations.chunk_id").alias("chunk_id"))
+    cited = steps.select(
+        "tenant_id", *keys, salient("action", stopwords).alias("_asked"), F.explode_outer("citations.chunk_id").alias("chunk_id")
+    )
     on = ["tenant_id", "chunk_id", *(["artifact_id"] if same_artifact else [])]
     texts = chunks.select(*on, salient("text", stopwords).alias("_words"))
     support = (
         cited.join(texts, on, "left")
+        .select("tenant_id", *keys, F.array_intersect("_asked", "_words").alias("_met"), F.col("_words").isNotNull().alias("_found"))
         .groupBy("tenant_id", *keys)
-        .agg(
-            F.flatten(F.collect_list("_words")).alias("_cited"),
-            F.bool_and(F.col("_words").isNotNull()).alias("all_found"),
-        )
+        .agg(F.flatten(F.collect_list("_met")).alias("_cited"), F.bool_and("_found").alias("all_found"))
     )
     joined = steps.join(support, ["tenant_id", *keys], "left")
     return joined.withColumn(

@@ -15,6 +15,7 @@ from lodestone.operators.chunking import chunk_artifacts
 from lodestone.operators.process_metrics import actor_accuracy, step_precision_recall
 from lodestone.registry import views as V
 from lodestone.registry.knowledge import ACTIONS, SENT_SQL
+from lodestone.session import cut_lineage
 
 QUERIES, SQL = {}, {}
 
@@ -153,16 +154,22 @@ FRESHNESS = "tenant_id string, object_type string, object_id string, state strin
 
 
 def first_state(spark, sf):
-    heads, versions, updates = VR.save_processes(empty(spark, VR.HEADS), empty(spark, VR.VERSIONS), extracted(V.chunks(spark, sf)))
+    made = cut_lineage(extracted(V.chunks(spark, sf)))
+    heads, versions, updates = VR.save_processes(empty(spark, VR.HEADS), empty(spark, VR.VERSIONS), made)
     return heads, versions, FR.set_freshness(empty(spark, FRESHNESS), updates, now())
 
 
+def stored_state(spark, sf):
+    """The first state as tables, as a deployment holds it between batches."""
+    return tuple(cut_lineage(table) for table in first_state(spark, sf))
+
+
 def second_state(spark, sf):
-    heads, versions, fresh = first_state(spark, sf)
-    diff = C.detect_changes(second(spark, sf), V.artifacts(spark, sf)).filter("change = 'change'")
+    heads, versions, fresh = stored_state(spark, sf)
+    diff = cut_lineage(C.detect_changes(second(spark, sf), V.artifacts(spark, sf)).filter("change = 'change'"))
     citing = FR.citing_processes(versions, V.chunks(spark, sf), diff.select(F.col("replaces").alias("artifact_id")))
     fresh = FR.set_freshness(fresh, FR.stale_updates(citing), now())
-    heads2, added, updates = VR.save_processes(heads, versions, extracted(chunk_artifacts(diff)))
+    heads2, added, updates = VR.save_processes(heads, versions, cut_lineage(extracted(chunk_artifacts(diff))))
     return heads2, versions.unionByName(added), FR.set_freshness(fresh, updates, now())
 
 
@@ -294,7 +301,7 @@ def listing(spark, sf):
     f"WITH {PROC_SQL} SELECT h.process_id, h.current_version, h.status, h.freshness, p.n_steps FROM heads h JOIN procs p ON p.process_id = h.process_id AND p.version = h.current_version",
 )
 def bodies(spark, sf):
-    rows = S.process_bodies(*first_state(spark, sf))
+    rows = S.process_bodies(*stored_state(spark, sf))
     return rows.select("process_id", "current_version", "status", "freshness", F.size("steps").cast("long").alias("n_steps"))
 
 
@@ -330,7 +337,7 @@ def ask(spark, sf):
 
     asked = tenant_queries(spark, sf)
     hits = hybrid_search(asked, V.embedded(V.chunks(spark, sf)), 8)
-    out = S.ask(asked, hits, S.process_bodies(*first_state(spark, sf)))
+    out = S.ask(asked, hits, S.process_bodies(*stored_state(spark, sf)))
     grounded = F.size("used_processes") > 0
     return out.select(
         "query_id", F.when(grounded, F.md5("answer")).alias("answer"), F.when(grounded, F.size("citations")).cast("long").alias("n_citations"), F.get("used_processes", F.lit(0)).alias("used")
@@ -342,7 +349,7 @@ def ask(spark, sf):
     f"WITH {PROC_SQL} SELECT h.tenant_id, h.name, h.current_version AS version, h.freshness, p.n_steps FROM heads h JOIN procs p ON p.process_id = h.process_id AND p.version = h.current_version",
 )
 def skills(spark, sf):
-    rows = S.skills(S.process_bodies(*first_state(spark, sf)), include_stale=True)
+    rows = S.skills(S.process_bodies(*stored_state(spark, sf)), include_stale=True)
     return rows.select("tenant_id", "name", "version", "freshness", F.size("steps").cast("long").alias("n_steps"))
 
 
@@ -351,7 +358,7 @@ def skills(spark, sf):
     f"""WITH {PROC_SQL} SELECT tenant_id, count(*) FILTER (freshness = 'fresh')::BIGINT AS fresh, count(*) FILTER (freshness = 'stale')::BIGINT AS stale, 0::BIGINT AS expired FROM heads GROUP BY 1""",
 )
 def manifest(spark, sf):
-    return S.freshness_manifest(S.process_bodies(*first_state(spark, sf)))
+    return S.freshness_manifest(S.process_bodies(*stored_state(spark, sf)))
 
 
 def priced_skills(spark, sf):
@@ -400,7 +407,7 @@ def golden(spark, sf):
 
 @query("evl_10_step_precision_recall")
 def precision_recall(spark, sf):
-    return step_precision_recall(golden(spark, sf), S.process_bodies(*first_state(spark, sf)))
+    return step_precision_recall(golden(spark, sf), S.process_bodies(*stored_state(spark, sf)))
 
 
 @query("evl_11_actor_accuracy")
@@ -419,7 +426,7 @@ def process_run(spark, sf):
     """Citation validity of the stored bodies, with their counts."""
     from lodestone.operators.process_metrics import citation_validity
 
-    rows = S.process_bodies(*first_state(spark, sf))
+    rows = S.process_bodies(*stored_state(spark, sf))
     steps = rows.select("tenant_id", F.col("process_id").alias("artifact_id"), F.explode("steps").alias("s")).select("tenant_id", "artifact_id", "s.ordinal", "s.action", "s.citations")
     rate = citation_validity(steps, V.chunks(spark, sf))
     return rate.join(rows.agg(F.count("*").alias("n_processes")), F.lit(True)).select("n_processes", "n_steps", "validity")
