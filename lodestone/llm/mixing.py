@@ -90,6 +90,7 @@ def _groups(dealt: DataFrame, by: list[str]) -> DataFrame:
 
 def decide(units: DataFrame) -> DataFrame:
     """source, item, extra: whether a unit takes one copy more than its whole ones."""
+    units = stored(units)
     sizes = units.groupBy("source", "band").agg(F.count("*").alias("units"), F.sum(F.col("size") * F.col("n")).alias("words"))
     bands = stored(sizes)
     per_source = targets(bands.groupBy("source").agg(F.sum("words").alias("source_size")))
