@@ -46,15 +46,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import partitions_for, stored, text_or_empty
+from lodestone.llm.common import arrow_rows, partitions_for, stored, text_or_empty
 
 SPAN = 100
 GRAM = 32
 REACH = SPAN - GRAM + 1
 SLICE = 1 << 18
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
 FLUSH_RECORDS = 50_000
 TASK_ANCHORS = 1_000_000
+BATCH_ROWS = 1_000
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -154,6 +155,11 @@ def _parts(h: np.ndarray, tasks: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(tasks)) >> np.uint64(32)).astype(np.int64)
 
 
+def _dealt(h: np.ndarray, tasks: int) -> np.ndarray:
+    """A task per hash, by the low bits: those of an anchor are the smallest of many in the high ones."""
+    return (((h & _LOW) * np.uint64(tasks)) >> np.uint64(32)).astype(np.int64)
+
+
 def _pieces(part: np.ndarray) -> list[tuple[int, int]]:
     """(from, to) of each run of equal task numbers."""
     cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
@@ -179,7 +185,7 @@ def repeated_anchors(docs: DataFrame, tasks: int) -> DataFrame:
             # one of a hash is asked about, flag 0 or 1; the others, flag 2, are known to be repeated
             many[~first] = 2
             ask = np.where(first, h, (doc.astype(np.uint64) * np.uint64(_BASE)) ^ (at.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-            part = _parts(ask, tasks)
+            part = _dealt(ask, tasks)
             by = np.argsort(part, kind="stable")
             rows = [by[a:b] for a, b in _pieces(part[by])]
             blobs = [_packed(h[r], doc[r], at[r], (at - lo)[r], (at - hi)[r], many[r]) for r in rows]
@@ -460,8 +466,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), text.alias("text"), F.xxhash64(text).alias("mark"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = partitions_for(spark, size // 35, TASK_ANCHORS)
-    suspects = repeated_anchors(rows, tasks)
-    repeats = stored(repeated_windows(rows, suspects, tasks))
+    with arrow_rows(spark, BATCH_ROWS):
+        suspects = stored(repeated_anchors(rows, tasks))
+        repeats = stored(repeated_windows(rows, suspects, tasks))
     runs = repeats.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     met = rows.select("doc_id", "doc", "mark", squeezed("text").alias("z")).join(runs, ["doc", "mark"], "left")
 
