@@ -72,6 +72,15 @@ def resolve(spark, sf):
     return found.select("artifact_id", "type", "name", F.array_join("aliases", "|").alias("aliases"), "confidence")
 
 
+@query("kg_05_similar_names")
+def similar_names(spark, sf):
+    """The words of each language as entity names, folded into similar ones."""
+    words = V.documents(spark, sf).select(F.col("lang").alias("type"), F.explode(F.array_distinct(X.fulltext_tokens("text"))).alias("name"))
+    named = words.groupBy("type", "name").agg(F.count("*").cast("double").alias("confidence")).withColumn("aliases", F.array("name"))
+    out = G.merge_similar(named, [])
+    return out.select("type", "name", F.array_join("aliases", "|").alias("aliases"), "confidence")
+
+
 @query("kg_08_tenant_scope", f"WITH {MENTIONS_SQL}, e AS ({_entity_sql('tenant_id')}) SELECT tenant_id, type, name, array_to_string(aliases, '|') AS aliases FROM e")
 def tenant_scope(spark, sf):
     found, _ = G.resolve_entities(cands(spark, sf), "tenant", SYNONYMS)

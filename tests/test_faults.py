@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from lodestone.operators import changes as C
 from lodestone.operators import dense as D
 from lodestone.operators import evaluation as E
 from lodestone.operators import freshness as FR
+from lodestone.operators import graph as G
 from lodestone.operators import replies as R
 from lodestone.operators.fusion import reciprocal_rank_fusion
 from lodestone.sources import incremental as I
@@ -115,3 +118,39 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_dir(Session())
+
+
+def plain_merge(entities, threshold):
+    def close(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return 1 - row[-1] / max(len(a), len(b), 1) >= threshold
+
+    out = []
+    for kind, name, aliases, confidence in sorted(entities):
+        at = next((i for i, o in enumerate(out) if o[0] == kind and close(o[1], name)), None)
+        if at is None:
+            out.append((kind, name, sorted(aliases), confidence))
+        else:
+            _, old, held, best = out[at]
+            out[at] = (kind, name if len(name) > len(old) else old, sorted(set(held) | set(aliases)), max(best, confidence))
+    return sorted(out)
+
+
+def test_similar_names_fold_in_order(spark):
+    rng = random.Random(1)
+    names = {"machine learning team", "machine learnin team", "machine learning teams", "a machine learning team", "finance", ""}
+    for _ in range(40):
+        base = "".join(rng.choice("ab ") for _ in range(rng.randint(8, 24)))
+        for _ in range(4):
+            at = rng.randrange(len(base))
+            names.add(base[:at] + rng.choice(["", "x", "xy"]) + base[at + rng.randint(0, 1) :])
+    rows = [(rng.choice("kl"), n, [n, n.upper()], rng.random()) for n in sorted(names)]
+    df = spark.createDataFrame(rows, "type string, name string, aliases array<string>, confidence double")
+    for threshold in (0.9, 0.8):
+        got = sorted((r.type, r.name, list(r.aliases), r.confidence) for r in G.merge_similar(df, [], threshold).collect())
+        assert got == plain_merge(rows, threshold)
+        assert len(got) < len(rows)

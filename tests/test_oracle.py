@@ -16,6 +16,7 @@ WITHOUT_SQL = {
     "emb_05_approximate_recall": "reports its own recall against the exact search",
     "spr_02_english_terms": "the stemmer; test_search",
     "kg_02_relations": "cue patterns; test_knowledge",
+    "kg_05_similar_names": "an ordered fold; test_faults against plain Python",
     "ver_04_contradictions": "test_knowledge",
     "evl_10_step_precision_recall": "test_knowledge",
     "evl_11_actor_accuracy": "test_knowledge",
