@@ -6,7 +6,8 @@ urls settled by a rule, and otherwise those with a word of ``SEED_WORDS`` (as
 rejected), train two smoothed variable-order Markov models of characters, one of
 accepted and one of rejected urls.  The rest is judged by the difference of the
 two log-likelihoods per character, against a threshold calibrated so that
-``FALSE_BLOCKS`` of the accepted urls of a held-out fold would be blocked.
+``FALSE_BLOCKS`` of the accepted urls of a held-out fold would be blocked (0 if
+that fold has none).
 
 The models read host and path without the last host label (the suffix is what
 rules are written by) in lower case with digits alike.  Order k is interpolated
@@ -119,5 +120,5 @@ def judge(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS) -> DataFrame:
     scored = stored(scores(strings.filter(F.col("open") | held_out).select("s").distinct(), model))
     accepted = strings.filter((F.col("label") == "allow") & (fold == 0)).join(scored, "s")
     cut = accepted.agg(F.percentile_approx("score", F.lit(1 - FALSE_BLOCKS), F.lit(10_000))).first()[0]
-    verdict = F.coalesce("settled", F.when(F.col("score") > F.lit(float("inf") if cut is None else max(cut, 0.0)), "block").otherwise("allow"))
+    verdict = F.coalesce("settled", F.when(F.col("score") > F.lit(max(cut or 0.0, 0.0)), "block").otherwise("allow"))
     return rows.join(scored, "s", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("settled").isNull(), F.col("score")).alias("score"))
