@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, exact_dedup, language_id, mixing, simhash_dedup
-from lodestone.llm.common import checked_broadcast, stored, table, text_or_empty
+from lodestone.llm.common import checked_broadcast, stored, table, text_batches, text_or_empty
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language; rejected are those that no language explains."""
+    text_batches(spark)
     mark = F.xxhash64(text_or_empty())
     rows = docs.select("doc_id", mark.alias("mark"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
     names, model = language_id.fit(rows.select(F.col("doc_id").alias("key"), "text", F.col("declared").alias("label")))
@@ -24,12 +25,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts, the one with the largest id."""
+    text_batches(spark)
     arrived = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
     return exact_dedup.keep_one(docs, stored(exact_dedup.dedup(docs, arrived)))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of linked fingerprints, the one with the smallest id."""
+    text_batches(spark)
     found = stored(simhash_dedup.dedup(docs))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     decided = found.select("doc_id", F.col("fingerprint").alias("mark"), kept.alias("kept"))
@@ -38,6 +41,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark passage leaks."""
+    text_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

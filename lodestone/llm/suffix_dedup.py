@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import arrow_rows, partitions_for, stored, text_or_empty
+from lodestone.llm.common import partitions_for, stored, text_batches, text_or_empty
 
 SPAN = 100
 GRAM = 32
@@ -55,7 +55,6 @@ SLICE = 1 << 18
 FLUSH_BYTES = 4 << 20
 FLUSH_RECORDS = 50_000
 TASK_ANCHORS = 1_000_000
-BATCH_ROWS = 1_000
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -462,13 +461,13 @@ def cut(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[bytes, int]:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     spark = docs.sparkSession
+    text_batches(spark)
     text = text_or_empty()
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), text.alias("text"), F.xxhash64(text).alias("mark"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = partitions_for(spark, size // 35, TASK_ANCHORS)
-    with arrow_rows(spark, BATCH_ROWS):
-        suspects = stored(repeated_anchors(rows, tasks))
-        repeats = stored(repeated_windows(rows, suspects, tasks))
+    suspects = stored(repeated_anchors(rows, tasks))
+    repeats = stored(repeated_windows(rows, suspects, tasks))
     runs = repeats.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     met = rows.select("doc_id", "doc", "mark", squeezed("text").alias("z")).join(runs, ["doc", "mark"], "left")
 
