@@ -226,15 +226,20 @@ def keep_one(docs: DataFrame, decided: DataFrame, mark=None, column: str = "text
     """The rows of ``docs`` that stay: one for each kept (doc_id, mark) of ``decided``.
 
     ``mark`` is the expression over ``docs`` that ``column`` of ``decided`` holds.
-    Ids that no other row shares meet their decision by id alone; only rows under
-    a repeated id are marked again and numbered.
+    Ids that no other row shares are decided by id alone: those to drop are taken
+    out where the rows lie when they are counted to be few, by shuffle otherwise.
+    Only rows under a repeated id are marked again and numbered.
     """
     names = docs.columns
     mark = folded_sha256(text_or_empty()) if mark is None else mark
+    by_id = F.col("doc_id").eqNullSafe(F.col("__id"))
     per_id = decided.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max("kept").alias("__kept"))
-    met = docs.join(per_id.filter("__kept"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    out = docs.join(checked_broadcast(per_id.filter("__n > 1 OR NOT __kept").select("__id"), 16), by_id, "left_anti")
+    repeated = per_id.filter("__n > 1 AND __kept").select("__id")
+    if repeated.isEmpty():
+        return out
     kept = decided.filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col(column).alias("__kept_mark")).distinct()
     first = F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy(F.xxhash64(*[F.col(n) for n in names])))
-    again = met.filter("__n > 1").withColumn("__mark", mark).withColumn("__row", first).filter("__row = 1")
+    again = docs.join(checked_broadcast(repeated, 16), by_id).withColumn("__mark", mark).withColumn("__row", first).filter("__row = 1")
     again = again.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__mark") == F.col("__kept_mark")), "left_semi")
-    return met.filter("__n = 1").select(*names).unionByName(again.select(*names))
+    return out.unionByName(again.select(*names))
