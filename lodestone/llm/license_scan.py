@@ -1,13 +1,15 @@
 """License scans by a positional index of rare words.
 
 Templates are short licence notices.  A first pass counts in how many documents
-each template word occurs, over all documents.  A second pass looks up each
-document's ``RARE_WORDS`` rarest licence words, intersects the templates' word
-places with the document's by relative position (weighing each word by its
-inverse document frequency), and takes the alignments on which enough of the
-template stands.  A template counts only if its mandatory phrases stand there
-too.  Base phrases are found wherever their words stand consecutively; their
-labels stay whatever the templates say.
+each template word occurs, over all documents.  Each template is then looked up
+by its rarest word places, as many as it takes that what is left weighs less than
+``ENOUGH`` of it (each word weighs its inverse document frequency).  A second pass
+aligns the templates with the document wherever one of these words stands, so no
+alignment on which enough of a template stands is missed, whatever else the
+document holds, and takes the alignments on which enough of the template does
+stand.  A template counts only if its mandatory phrases stand there too.  Base
+phrases are found wherever their words stand consecutively; their labels stay
+whatever the templates say.
 
 Words are runs of ASCII letters and digits and of any other characters beyond
 ASCII, with A-Z lower-cased.  Null and empty texts have no words, no labels and
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import text_or_empty
 
-RARE_WORDS = 12
 ENOUGH = 0.7
 SLACK = 2
 
@@ -63,12 +64,9 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _LABELS = [t[0] for t in TEMPLATES]
 _WORDS = [t[1].encode().split() for t in TEMPLATES]
 _KEYS = [[k.encode().split() for k in t[2]] for t in TEMPLATES]
+_NEEDED = [frozenset(w for key in keys for w in key) for keys in _KEYS]
 _BASE = [(p.encode().split(), label) for p, label in BASE]
-_PLACES: dict[bytes, list] = defaultdict(list)
-for _t, _words in enumerate(_WORDS):
-    for _i, _w in enumerate(_words):
-        _PLACES[_w].append((_t, _i))
-VOCABULARY = frozenset(_PLACES)
+VOCABULARY = frozenset(w for words in _WORDS for w in words)
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 )
@@ -107,7 +105,22 @@ def phrase_starts(words: list[bytes], phrase: list[bytes], lo: int = 0, hi: int
         at += 1
 
 
-def scan(words: list[bytes], idf: dict[bytes, float]) -> tuple:
+def anchors(idf: dict[bytes, float]) -> list[list[tuple[bytes, int]]]:
+    """Per template its rarest (word, place): without any of them less than ENOUGH of the template can stand."""
+    out = []
+    for words in _WORDS:
+        left = whole = sum(idf[w] for w in words)
+        chosen = []
+        for i in sorted(range(len(words)), key=lambda i: (-idf[words[i]], i)):
+            if left < whole * (ENOUGH - 1e-9):
+                break
+            chosen.append((words[i], i))
+            left -= idf[words[i]]
+        out.append(chosen)
+    return out
+
+
+def scan(words: list[bytes], idf: dict[bytes, float], rare: list[list[tuple[bytes, int]]]) -> tuple:
     """n_words, n_base, first, last, base labels, labels, score of one document."""
     present = VOCABULARY.intersection(words)
     starts, base, labels, score = [], set(), set(), 0.0
@@ -115,17 +128,20 @@ def scan(words: list[bytes], idf: dict[bytes, float]) -> tuple:
         if present.issuperset(phrase) and (found := phrase_starts(words, phrase)):
             starts += found
             base.add(label)
-    rare = set(sorted(present, key=lambda w: (-idf[w], w))[:RARE_WORDS])
-    votes: Counter = Counter()
-    if rare:
+    places: dict[bytes, list] = defaultdict(list)
+    for template, needed in enumerate(_NEEDED):
+        if present.issuperset(needed):
+            for word, place in rare[template]:
+                places[word].append((template, place))
+    spots = set()
+    if not places.keys().isdisjoint(present):
         for at, word in enumerate(words):
-            if word in rare:
-                for template, place in _PLACES[word]:
-                    votes[template, at - place] += idf[word]
-    for (template, start), weight in votes.items():
+            if word in places:
+                spots.update((template, at - place) for template, place in places[word])
+    for template, start in spots:
         held = _WORDS[template]
         whole = sum(idf[w] for w in held)
-        if weight < whole * ENOUGH / 2 or _LABELS[template] in labels and score == 1.0:
+        if _LABELS[template] in labels and score == 1.0:
             continue
         stands = sum(idf[w] for i, w in enumerate(held) if 0 <= start + i < len(words) and words[start + i] == w) / whole
         lo, hi = start - SLACK, start + len(held) + SLACK
@@ -143,12 +159,13 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     counted = {r.word.encode(): r.df for r in document_frequencies(docs).collect()}  # at most one row per template word
     total = docs.count()
     idf = {w: 1.0 + math.log((total + 1) / (counted.get(w, 0) + 1)) for w in VOCABULARY}
+    rare = anchors(idf)
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def over(batches):
         for batch in batches:
-            rows = [scan(words_of(t.as_py()), idf) for t in batch.column(1)]
+            rows = [scan(words_of(t.as_py()), idf, rare) for t in batch.column(1)]
             if rows:
                 columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)

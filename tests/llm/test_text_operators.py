@@ -218,3 +218,16 @@ def test_license_scan(spark, seed):
     by_id = {r.doc_id: r for r in rows}
     assert [by_id[d].labels for d in (900, 901, 902, 903, 11, 4)] == ["mit", "apache-2.0", "", "apache-2.0", "cc-by,cc-by-nc-4.0,reserved", ""]
     assert license_scan.scan_documents(X.frame(spark).limit(0)).collect() == []
+
+
+def test_license_scan_of_every_template_in_one_text(spark):
+    lines = [t[1] for t in license_scan.TEMPLATES]
+    whole = "Third-party notices. " + ". ".join(lines) + ". Copy the forms of this source, with permission, for any purpose."
+    few = "\n".join(next(t[1] for t in license_scan.TEMPLATES if t[0] == label) for label in ("bsd", "isc", "apache-2.0"))
+    docs = [(1, whole), (2, few), (3, "padding " * 5_000 + whole), *((i, "Licensed under the Apache License, Version 2.0.") for i in range(10, 60))]
+    rows = license_scan.scan_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {r.doc_id: set(r.labels.split(",")) for r in rows}
+    every = {t[0] for t in license_scan.TEMPLATES} | {label for _, label in license_scan.BASE}
+    assert got[1] == got[3] == every
+    assert got[2] == {"bsd", "isc", "apache-2.0"}
+    assert all(got[d] == {"apache-2.0"} for d in range(10, 60))
