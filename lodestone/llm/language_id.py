@@ -10,11 +10,15 @@
 ``und`` (no language) competes with a flat likelihood per letter, so symbols,
 random letters and unknown scripts lose to it; a row is kept unless it wins.
 
-The trigram model is fitted on about ``SAMPLE_ROWS`` labelled rows, whole texts,
-chosen by a hash of the id; everything else covers all rows.  Letters form a
-fixed alphabet of 64 classes, so the model has at most 64^3 numbers a language,
-and at most ``MAX_LANGUAGES`` languages (the most frequent labels of the sample)
-are told apart.
+Labels are counted over all rows and every label is a language, however rare.
+The trigram model is fitted on about ``ROWS_PER_LABEL`` rows of each label (all
+of them where there are fewer), whole texts, chosen by a hash of the id;
+everything else covers all rows.  Letters form a fixed alphabet of 128 classes:
+each letter of ``LETTERS`` is one, and those of other scripts share 64 (40 for
+alphabets, dealt by code point, and fewer for kana, hangul and ideographs, so
+that a language of many signs has still less than ``FLAT`` to choose from).  The
+model holds a number per language for each trigram that was seen in any, and
+128^2 numbers for what was not.
 
 Null or empty text has no text evidence and is ``und``, as is a table without
 any label.  A null host shares one host; a null or unknown declaration says
@@ -24,6 +28,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,13 +39,13 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import checked_broadcast, stored
 
-SAMPLE_ROWS = 4_000
-MAX_LANGUAGES = 32
+ROWS_PER_LABEL = 1_000
 TEXT_WEIGHT = 0.3
 DECLARED_RIGHT = 0.9
 PRIOR_ROWS = 50.0
 UND_PRIOR = 1e-3
 SMOOTHING = 0.05
+FLAT = 1 / 32
 
 # The letters told apart, and the main language of country suffixes.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçéèêëíìîïñóòôöõøœúùûüßýÿ"
@@ -48,20 +54,57 @@ SUFFIX_LANGUAGE = {
     "ie": "en", "it": "it", "mx": "es", "nl": "nl", "nz": "en", "pe": "es", "pl": "pl", "pt": "pt", "uk": "en",
 }
 
-SIDE = 64
-OTHER = SIDE - 1
-_CLASS = np.full(0x250, 0, np.uint8)
+SIDE = 128
+SYMBOL = 63
+# class numbers: the first and how many, and the code points of each kind of letter beyond LETTERS
+SCRIPTS = (
+    (104, 8, ((0x3040, 0x3100), (0x31F0, 0x3200))),
+    (112, 4, ((0x1100, 0x1200), (0x3130, 0x3190), (0xAC00, 0xD7B0))),
+    (116, 12, ((0x2E80, 0x3000), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000))),
+)
+_CODE = np.arange(0x110000)
+_CLASS = (64 + (_CODE * 7 + (_CODE >> 7) * 13) % 40).astype(np.uint8)
+for _first, _many, _spans in SCRIPTS:
+    for _from, _to in _spans:
+        _CLASS[_from:_to] = _first + _CODE[_from:_to] % _many
+for _from, _to in ((0x2070, 0x2C00), (0xD800, 0xF900), (0x1F000, 0x20000), (0x32000, 0x110000)):
+    _CLASS[_from:_to] = SYMBOL
+for _from, _to in ((0, 0x250), (0x2000, 0x2070), (0x3000, 0x3040)):
+    _CLASS[_from:_to] = 0
 for _i, _c in enumerate(LETTERS):
     _CLASS[ord(_c)] = _i + 1
+del _CODE
 _PIECE = 1 << 20
 
 
+class Model(NamedTuple):
+    """log P(letter | two letters before): column of each trigram (-1: seen in no language), and arrays (language, number)."""
+
+    column: np.ndarray
+    seen: np.ndarray
+    context: np.ndarray
+    pair: np.ndarray
+
+    def total(self, grams: np.ndarray) -> np.ndarray:
+        """Summed over the trigrams, per language."""
+        out, step = np.zeros(len(self.seen)), max(1024, (4 << 20) // max(1, len(self.seen)))
+        for at in range(0, len(grams), step):
+            piece = grams[at : at + step]
+            column = self.column[piece]
+            new = piece[column < 0]
+            if len(new):
+                column = column[column >= 0]
+                out += self.context[:, new // SIDE].sum(axis=1, dtype=np.float64) + self.pair[:, new % SIDE**2].sum(axis=1, dtype=np.float64)
+            out += self.seen[:, column].sum(axis=1, dtype=np.float64)
+        return out
+
+
 def trigrams(text: str):
     """Trigram numbers of a text, in pieces; runs of non-letters count as one space."""
     for at in range(0, len(text), _PIECE):
         piece = text[max(0, at - 2) : at + _PIECE].lower()
         code = np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)
-        kind = np.where(code < 0x250, _CLASS[np.minimum(code, 0x24F)], np.where((code >= 0x2000) & (code < 0x2070), 0, OTHER)).astype(np.int64)
+        kind = _CLASS[code].astype(np.int64)
         kind = np.concatenate(([0], kind, [0]))
         kind = kind[(kind != 0) | np.concatenate(([True], kind[:-1] != 0))]
         if len(kind) >= 3:
@@ -72,38 +115,52 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     """label, gram, n summed over rows of (label, text)."""
 
     def count(batches):
-        totals: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
+        waiting = 0
+
+        def tell():
+            for label, grams in held.items():
+                at, n = np.unique(np.concatenate(grams), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at), pa.array(n)], names=["label", "gram", "n"])
+            held.clear()
+
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total = totals.setdefault(label, np.zeros(SIDE**3, np.int64))
                 for grams in trigrams(text.as_py() or ""):
-                    at, n = np.unique(grams, return_counts=True)
-                    total[at] += n
-        for label, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["label", "gram", "n"])
+                    held.setdefault(label, []).append(grams)
+                    waiting += len(grams)
+                if waiting > _PIECE:
+                    yield from tell()
+                    waiting = 0
+        yield from tell()
 
     return rows.select("label", "text").mapInArrow(count, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and log P(letter | two letters before) as an array (language, trigram)."""
+def fit(rows: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> tuple[list[str], Model]:
+    """Languages, and the trigram model of each."""
     labelled = rows.filter("label IS NOT NULL AND label <> ''")
-    share = sample_rows / max(1, labelled.count())
-    sample = labelled.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.lit(share * 1_000_000)) if share < 1 else labelled
-    weights = sample.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    names = sorted(r.label for r in weights)
-    counts = gram_counts(sample.filter(F.col("label").isin(names))).toPandas() if names else pd.DataFrame()
-    table = np.zeros((len(names), SIDE**3))
+    labels = stored(labelled.groupBy("label").agg(F.count("*").alias("rows")))
+    names = sorted(r.label for r in labels.select("label").collect())
+    share = F.lit(rows_per_label * 1e6) / F.col("rows")
+    sample = labelled.join(checked_broadcast(labels, 128), "label").filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share)
+    counts = gram_counts(sample).toPandas()
+    grams = np.unique(counts["gram"].to_numpy(np.int64))
+    column = np.full(SIDE**3, -1, np.int32)
+    column[grams] = np.arange(len(grams))
+    seen = np.zeros((len(names), len(grams)), np.float32)
+    context, pair = (np.zeros((len(names), SIDE**2), np.float32) for _ in range(2))
     for k, name in enumerate(names):
         own = counts[counts["label"] == name]
-        table[k, own["gram"].to_numpy(np.int64)] = own["n"]
-    cube = table.reshape(len(names), SIDE, SIDE, SIDE)
-    last = (cube.sum(axis=(1, 2)) + SMOOTHING) / (cube.sum(axis=(1, 2, 3))[:, None] + SMOOTHING * SIDE)
-    pair = cube.sum(axis=1)
-    pair = (pair + 2.0 * last[:, None, :]) / (pair.sum(axis=2, keepdims=True) + 2.0)
-    full = (cube + 2.0 * pair[:, None]) / (cube.sum(axis=3, keepdims=True) + 2.0)
-    return names, np.log(full).reshape(len(names), SIDE**3).astype(np.float32)
+        at, n = own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.float64)
+        last = (np.bincount(at % SIDE, n, SIDE) + SMOOTHING) / (n.sum() + SMOOTHING * SIDE)
+        two = np.bincount(at % SIDE**2, n, SIDE**2).reshape(SIDE, SIDE)
+        two = ((two + 2.0 * last) / (two.sum(axis=1, keepdims=True) + 2.0)).ravel()
+        before = np.bincount(at // SIDE, n, SIDE**2) + 2.0
+        three = 2.0 * two[grams % SIDE**2]
+        three[column[at]] += n
+        seen[k], context[k], pair[k] = np.log(three / before[grams // SIDE]), np.log(2.0 / before), np.log(two)
+    return names, Model(column, seen, context, pair)
 
 
 def declared_language(html):
@@ -111,20 +168,20 @@ def declared_language(html):
     return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", 1))
 
 
-def identify(rows: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
+def identify(rows: DataFrame, names: list[str], model: Model) -> DataFrame:
     """(key columns), lang, confidence, kept of each row of (…, text, declared, host)."""
     spark = rows.sparkSession
     keys = [c for c in rows.columns if c not in ("text", "declared", "host")]
     size = len(names)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(tuple(model))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def likelihoods(texts: pd.Series) -> pd.Series:
-        held, flat, out = shared.value, -np.log(SIDE / 2), []
+        held, flat, out = Model(*shared.value), np.log(FLAT), []
         for text in texts:
             total = np.zeros(size + 1)
             for grams in trigrams(text):
-                total[:size] += held[:, grams].sum(axis=1, dtype=np.float64)
+                total[:size] += held.total(grams)
                 total[size] += len(grams) * flat
             out.append(total)
         return pd.Series(out)

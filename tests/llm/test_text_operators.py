@@ -116,6 +116,36 @@ def test_host_prior_settles_silent_text(spark):
     assert (got[700], got[701]) == ("fr", "en")
 
 
+SCRIPTS = {
+    "el": "η γλώσσα αυτή είναι παλιά και την μιλούν πολλοί άνθρωποι στην χώρα",
+    "ru": "мы не знаем этот язык совсем но его понимают многие люди в нашей стране",
+    "uk": "ми знаємо цю мову і її розуміють усі люди в нашій країні",
+    "zh": "我们知道这种语言，很多人在这个国家说它。",
+    "ja": "私たちはこの言語を知っています。この国の多くの人が話します。",
+    "ko": "우리는 이 언어를 알고 있으며 이 나라의 많은 사람들이 말합니다",
+    "he": "אנחנו יודעים את השפה הזאת והרבה אנשים במדינה מדברים אותה",
+}
+
+
+@pytest.mark.parametrize("many", [100, 40_000])
+def test_rare_languages_of_other_scripts_stay_at_any_size(spark, many):
+    common = spark.range(many).select("id", F.lit("the garden of the house by the river").alias("text"), F.lit("en").alias("declared"))
+    rare = [(1_000_000 + i, text, lang) for i, (lang, text) in enumerate(SCRIPTS.items())]
+    rows = common.unionByName(spark.createDataFrame(rare, "id long, text string, declared string"))
+    names, model = language_id.fit(rows.select(F.col("id").alias("key"), "text", F.col("declared").alias("label")))
+    assert names == sorted(["en", *SCRIPTS])
+    asked = [(i, text, None, "h") for i, text, _ in rare] + [(1, "ქართული ენა არის ძალიან ძველი და ლამაზი", None, "h"), (2, "♞♟♠♡♢ ☀☁☂☃", None, "h")]
+    frame = spark.createDataFrame(asked, "id long, text string, declared string, host string")
+    got = {r.id: (r.lang, r.kept) for r in language_id.identify(frame, names, model).collect()}
+    assert got == {i: (lang, True) for i, _, lang in rare} | {1: ("und", False), 2: ("und", False)}
+
+
+def test_every_label_is_a_language(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} text", f"l{i % 50:02}") for i in range(200)]
+    names, model = language_id.fit(spark.createDataFrame(rows, "key long, text string, label string"))
+    assert len(names) == 50 and model.seen.shape[0] == 50
+
+
 PATTERNS = [
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
