@@ -21,7 +21,11 @@ bytes, and each stands for the run of windows that name it.
    length shared with the last suffix put out: unequal lengths decide without
    looking at a byte, equal ones compare on from there.  Suffixes that follow
    each other with 32 bytes in common are a family; within it, windows with the
-   same anchor offset and bytes are one class, whose first place stays.
+   same anchor offset and bytes are one class, whose first place stays.  Large
+   families are settled in chunks: of those with ``HOT`` records in a sorted run
+   nothing but a mark goes to the merge, and no task holds more than
+   ``FAMILY_RECORDS`` of one at once.  The places that stand in a chunk leave as
+   digests of their windows, which are ranked over all chunks.
 4. The repeated windows return to their documents as intervals, and the covered
    bytes are cut.
 
@@ -42,7 +46,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +59,8 @@ SLICE = 1 << 18
 FLUSH_BYTES = 4 << 20
 FLUSH_RECORDS = 50_000
 TASK_ANCHORS = 1_000_000
+FAMILY_RECORDS = 2_000
+HOT = 64
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -316,8 +322,12 @@ def merged(runs: list):
             node //= 2
 
 
-def family_repeats(family: list[tuple]):
-    """(doc, mark, first, last) runs of repeated windows in one family of records."""
+def family_repeats(family: list[tuple], standing: list | None = None):
+    """(doc, mark, first, last) runs of repeated windows in one family of records.
+
+    ``standing`` takes (digest, doc, mark, first) of the windows that stand, where
+    the records are not the whole family.
+    """
     firsts: dict[tuple, tuple] = {}
     for record in family:
         content = record[:2]
@@ -330,7 +340,7 @@ def family_repeats(family: list[tuple]):
                 firsts[content], record = record, held
             if (record[2], record[4]) != (firsts[content][2], firsts[content][4]):
                 yield record[2], record[3], record[4] - len(record[1]), record[4] - (SPAN + 8 - len(record[0]))
-    if len(firsts) < 2:
+    if len(firsts) < 2 and standing is None:
         return
     distinct = [(k[8:], left, doc, mark, at) for k, left, doc, mark, at in firsts.values()]
     repeated: list[list[int]] = [[] for _ in distinct]
@@ -348,6 +358,8 @@ def family_repeats(family: list[tuple]):
             for k, window, place in rows:
                 if place != first[window]:
                     repeated[k].append(o)
+        if standing is not None:
+            standing.extend((xxhash.xxh3_128_digest(window), *distinct[k][2:4], place[1]) for k, window, place in rows if place == first[window])
     for (_, _, doc, mark, at), offsets in zip(distinct, repeated, strict=True):
         start = None
         for i, o in enumerate(offsets):
@@ -357,6 +369,31 @@ def family_repeats(family: list[tuple]):
                 start = None
 
 
+def _packed_windows(standing: list[tuple]) -> bytes:
+    """Windows that stand in a chunk, compressed."""
+    digests, *columns = zip(*standing, strict=True)
+    raw = struct.pack("<q", len(standing)) + b"".join(np.array(c, np.int64).tobytes() for c in columns) + b"".join(digests)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _window_rows(blob: bytes) -> pa.RecordBatch:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = struct.unpack_from("<q", raw)[0]
+    doc, mark, first = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n)
+    begin = 8 + 24 * n
+    digests = [raw[begin + 16 * i : begin + 16 * i + 16] for i in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *map(pa.array, (doc, mark, first, first))], names=_FOUND)
+
+
+def _run_rows(columns) -> pa.RecordBatch:
+    columns = [pa.array(c, pa.int64()) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.binary()), *columns], names=_FOUND)
+
+
+_HOT_MARK = b"hot "  # no compressed run begins so
+_FOUND = ["digest", "doc", "mark", "first", "last"]
+
+
 def repeated_windows(docs: DataFrame, suspects: DataFrame, tasks: int) -> DataFrame:
     """doc, mark, first, last: runs of window starts whose 100 bytes also start earlier."""
     places = suspects.groupBy("doc").agg(F.collect_list("place").alias("places"))
@@ -367,17 +404,34 @@ def repeated_windows(docs: DataFrame, suspects: DataFrame, tasks: int) -> DataFr
         seen: dict[tuple, tuple] = {}
         settled: list[tuple] = []
 
+        def sent(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
+
         def flush():
-            """Equal records of the batch are repeats already; the rest leaves in sorted runs."""
+            """Equal records of the batch are repeats already, large families are settled here; the rest leaves in sorted runs."""
             records = sorted((key, left, *place) for (key, left), place in seen.items())
-            part = _parts(np.array([int.from_bytes(r[0][:8], "big") for r in records], np.uint64), tasks)
-            sent = [(int(part[a]), encoded_run(records[a:b])) for a, b in _pieces(part)]
+            seen.clear()
+            family = _pieces(np.cumsum([not i or records[i - 1][0][: 8 + GRAM] != r[0][: 8 + GRAM] for i, r in enumerate(records)]))
+            hot, rest, standing = [], [], []
+            for a, b in family:
+                if b - a < HOT:
+                    rest += records[a:b]
+                    continue
+                hot.append(records[a][0][: 8 + GRAM])
+                for at in range(a, b, FAMILY_RECORDS):
+                    settled.extend(family_repeats(records[at : min(b, at + FAMILY_RECORDS)], standing))
+                    if len(standing) > 100_000:
+                        yield sent([(-2, _packed_windows(standing))])
+                        standing.clear()
+            if standing:
+                yield sent([(-2, _packed_windows(standing))])
+            home = _parts(np.array([int.from_bytes(k[:8], "big") for k in hot], np.uint64), tasks)
+            part = _parts(np.array([int.from_bytes(r[0][:8], "big") for r in rest], np.uint64), tasks)
             done = list(zip(*settled, strict=True)) if settled else [[]] * 4
             gone = struct.pack("<q", len(settled)) + b"".join(np.array(c, np.int64).tobytes() for c in done)
-            seen.clear()
             settled.clear()
-            rows = [*sent, (-1, gone)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
+            marks = [(int(p), _HOT_MARK + k) for p, k in zip(home, hot, strict=True)]
+            yield sent([*((int(part[a]), encoded_run(rest[a:b])) for a, b in _pieces(part)), *marks, (-1, gone)])
 
         for batch in batches:
             for doc, mark, z, held in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -399,42 +453,60 @@ def repeated_windows(docs: DataFrame, suspects: DataFrame, tasks: int) -> DataFr
                             seen[key, left], new = new, old
                         settled.append((new[0], new[1], new[2] - before, new[2] - after))
                 if len(seen) >= FLUSH_RECORDS or len(settled) >= 4 * FLUSH_RECORDS:
-                    yield flush()
+                    yield from flush()
         if seen or settled:
-            yield flush()
+            yield from flush()
 
     def merge(batches):
-        held, out = [], []
-        names = ["doc", "mark", "first", "last"]
+        held, hot, out, standing = [], set(), [], []
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if part >= 0:
-                    held.append(decoded_run(blob.as_py()))
-                else:
-                    raw = blob.as_py()
-                    n = struct.unpack_from("<q", raw)[0]
+                blob = blob.as_py()
+                if part == -2:
+                    yield _window_rows(blob)
+                elif part == -1:
+                    n = struct.unpack_from("<q", blob)[0]
                     if n:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n)], names=names)
+                        yield _run_rows(np.frombuffer(blob, np.int64, 4 * n, 8).reshape(4, n))
+                elif blob.startswith(_HOT_MARK):
+                    hot.add(blob[len(_HOT_MARK) :])
+                else:
+                    held.append(decoded_run(blob))
         if not held:
             return
+
+        def full(most: int):
+            if len(out) > most:
+                yield _run_rows(zip(*out, strict=True))
+                out.clear()
+            if len(standing) > most:
+                yield _window_rows(_packed_windows(standing))
+                standing.clear()
+
         family: list[tuple] = []
+        large = False  # other records of the family are settled elsewhere
         for shared, record in merged(held):
             if shared < 8 + GRAM:
-                if len(family) > 1:
-                    out.extend(family_repeats(family))
-                family = []
+                if family and (large or len(family) > 1):
+                    out.extend(family_repeats(family, standing if large else None))
+                family, large = [], record[0][: 8 + GRAM] in hot
+                yield from full(100_000)
+            elif len(family) >= FAMILY_RECORDS:
+                out.extend(family_repeats(family, standing))
+                family, large = [], True
+                yield from full(100_000)
             family.append(record)
-            if len(out) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-                out = []
-        if len(family) > 1:
-            out.extend(family_repeats(family))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+        if family and (large or len(family) > 1):
+            out.extend(family_repeats(family, standing if large else None))
+        yield from full(0)
 
     dealt = met.select("doc", "mark", "z", "places").mapInArrow(runs, "part long, blob binary")
     route = F.when(F.col("part") < 0, F.xxhash64("blob")).otherwise(F.xxhash64("part"))
-    return dealt.withColumn("route", route).repartition(tasks, "route").select("part", "blob").mapInArrow(merge, "doc long, mark long, first long, last long")
+    merging = dealt.withColumn("route", route).repartition(tasks, "route").select("part", "blob")
+    found = stored(merging.mapInArrow(merge, "digest binary, doc long, mark long, first long, last long"))
+    place = F.rank().over(Window.partitionBy("digest").orderBy("doc", "first"))  # equal places do not repeat each other
+    open_ = found.filter("digest IS NOT NULL").withColumn("place", place).filter("place > 1")
+    return found.filter("digest IS NULL").select(*_FOUND[1:]).unionByName(open_.select(*_FOUND[1:]))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -467,7 +539,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = partitions_for(spark, size // 35, TASK_ANCHORS)
     suspects = stored(repeated_anchors(rows, tasks))
-    repeats = stored(repeated_windows(rows, suspects, tasks))
+    repeats = repeated_windows(rows, suspects, tasks)
     runs = repeats.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     met = rows.select("doc_id", "doc", "mark", squeezed("text").alias("z")).join(runs, ["doc", "mark"], "left")
 

@@ -152,3 +152,36 @@ def test_empty_tables(spark):
     assert simhash_dedup.dedup(none).collect() == []
     assert suffix_dedup.dedup(none).collect() == []
     assert isinstance(simhash_dedup.dedup(none).schema["component_id"].dataType, T.LongType)
+
+
+def test_family_in_chunks_is_settled_as_whole():
+    rng = random.Random(8)
+    passage = bytes(rng.choices(b"abcdefgh", k=100))
+    family = []
+    for doc in range(300):
+        before, after = (bytes(rng.choices(b"xy", k=rng.choice([0, 3, 60]))) for _ in range(2))
+        left, right = (before + passage[:30])[-40:], (passage[30:] + after)[:100]
+        family.append((bytes(8) + right, left, doc % 250, 0, 1000 + len(left)))
+    family.sort()
+    whole = {(d, w) for d, _, a, b in suffix_dedup.family_repeats(family) for w in range(a, b + 1)}
+    standing, found = [], set()
+    for at in range(0, len(family), 7):
+        found |= {(d, w) for d, _, a, b in suffix_dedup.family_repeats(family[at : at + 7], standing) for w in range(a, b + 1)}
+    rows = suffix_dedup._window_rows(suffix_dedup._packed_windows(standing)).to_pylist()
+    least = {}
+    for r in rows:
+        least[r["digest"]] = min(least.get(r["digest"], (1 << 40, 0)), (r["doc"], r["first"]))
+    found |= {(r["doc"], r["first"]) for r in rows if (r["doc"], r["first"]) != least[r["digest"]]}
+    assert whole and found == whole
+
+
+def test_substrings_of_passages_in_many_surroundings(spark):
+    rng = random.Random(9)
+    passages = [" ".join(f"{k}w{rng.randrange(1000)}" for _ in range(40)) for k in range(4)]
+    docs = []
+    for k, often in enumerate((3000, 500, 450, 30)):
+        for _ in range(often):
+            ends = [" ".join(f"{rng.randrange(50)}" for _ in range(rng.randint(0, 30))) for _ in range(2)]
+            docs.append((len(docs), f"{ends[0]} {passages[k]} {ends[1]}"))
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()}
+    assert got == X.cut_repeats(docs)
