@@ -11,9 +11,11 @@ that fold has none).
 
 The models read host and path without the last host label (the suffix is what
 rules are written by) in lower case with digits alike.  Order k is interpolated
-with order k - 1 by ``BACK`` pseudo-counts; counts sit in ``SLOTS`` hashed slots,
-which bounds the model however large the corpus: only that table is broadcast.
-Equal strings are counted and scored once, with their multiplicity.
+with order k - 1 by ``BACK`` pseudo-counts.  Counts are a table by order and text,
+which grows with the corpus; it is broadcast, order by order, where it is counted
+to be small and joined by shuffle where not.  Equal strings are counted and scored
+once, with their multiplicity, and so is each distinct window of ``ORDER`` + 1
+characters, which keeps low orders and the start mark from gathering rows.
 
 A null url, or one without ``://``, has an empty host and path and is allowed,
 as is everything when there is nothing to train on.  Repeated rows give repeated
@@ -30,7 +32,7 @@ from lodestone.llm.common import checked_broadcast, stored
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SEED_WORDS = ("adult", "bets", "casino", "porn", "spam", "viagra", "xxx")
 ORDER = 4
-SLOTS = 1 << 20
+GRAM_BYTES = 128
 BACK = 4.0
 ALPHABET = 64
 FOLDS = 5
@@ -63,44 +65,34 @@ def _model_text() -> Column:
     return F.when(F.col("host") == "", F.lit(None)).otherwise(F.concat(F.lit("\u0002" * ORDER), body, F.lit("\u0003")))
 
 
-def _slot(kind: int, text: str) -> str:
-    return f"pmod(xxhash64({kind}, {text}), {SLOTS})"
+def _windows(strings: DataFrame, *keep: str) -> DataFrame:
+    """A row per character: w, the character after the ORDER before it."""
+    spots = strings.select("s", *(c for c in keep if c != "s"), F.explode(F.expr(f"sequence({ORDER + 1}, length(s))")).alias("i"))
+    return spots.select(*keep, F.expr(f"substring(s, i - {ORDER}, {ORDER + 1})").alias("w"))
 
 
-def _places(strings: DataFrame, *keep: str) -> DataFrame:
-    """A row per character: its slots (g0..: with its context of each order; c0..: the context alone)."""
-    spots = strings.select(*keep, "s", F.explode(F.expr(f"sequence({ORDER + 1}, length(s))")).alias("i"))
-    grams = [F.expr(_slot(2 * k, f"substring(s, i - {k}, {k + 1})")).alias(f"g{k}") for k in range(ORDER + 1)]
-    contexts = [F.expr(_slot(2 * k + 1, f"substring(s, i - {k}, {k})")).alias(f"c{k}") for k in range(ORDER + 1)]
-    return spots.select(*keep, *grams, *contexts)
-
-
-def count_slots(strings: DataFrame) -> DataFrame:
-    """slot, accepted, rejected: weighted counts over strings of (s, label, n)."""
-    places = _places(strings, "label", "n")
-    slots = F.explode(F.array(*[f"{x}{k}" for k in range(ORDER + 1) for x in "gc"])).alias("slot")
-    seen = places.select("label", "n", slots)
+def count_grams(strings: DataFrame) -> DataFrame:
+    """k, gram, accepted, rejected: weighted counts, by order and text, over strings of (s, label, n)."""
     counts = [F.sum(F.when(F.col("label") == says, F.col("n")).otherwise(0)).alias(name) for says, name in (("allow", "accepted"), ("block", "rejected"))]
-    return seen.groupBy("slot").agg(*counts)
+    seen = _windows(strings, "label", "n").groupBy("w").agg(*counts)
+    grams = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"substring(w, {ORDER + 1 - k}, {k + 1})").alias("gram")) for k in range(ORDER + 1)])
+    each = seen.select(F.explode(grams).alias("held"), "accepted", "rejected")
+    return each.groupBy("held.k", "held.gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
 
 
 def scores(strings: DataFrame, model: DataFrame) -> DataFrame:
     """s, score: log-likelihood of rejected less accepted, per character."""
-    places = _places(strings, "s")
-    model = checked_broadcast(model, 24)
+    places = _windows(strings, "s")
+    windows = places.select("w").distinct().select("w", *[F.lit(1.0 / ALPHABET).alias(f"p_{side}") for side in "ar"])
     for k in range(ORDER + 1):
-        for x in "gc":
-            held = model.select(F.col("slot").alias(f"{x}{k}"), F.col("accepted").alias(f"{x}{k}_a"), F.col("rejected").alias(f"{x}{k}_r"))
-            places = places.join(held, f"{x}{k}", "left")
-    chance = {}
-    for side in "ar":
-        p = F.lit(1.0 / ALPHABET)
-        for k in range(ORDER + 1):
-            g, c = (F.coalesce(F.col(f"{x}{k}_{side}"), F.lit(0)) for x in "gc")
-            # slots can be shared, so a context may count less than what follows it
-            p = (g + p * BACK) / (F.greatest(c, g) + BACK)
-        chance[side] = p
-    return places.select("s", (F.log(chance["r"]) - F.log(chance["a"])).alias("d")).groupBy("s").agg(F.avg("d").alias("score"))
+        grams = model.filter(F.col("k") == k).select(F.col("gram").alias("g"), F.col("accepted").alias("g_a"), F.col("rejected").alias("g_r"))
+        contexts = grams.groupBy(F.expr(f"substring(g, 1, {k})").alias("c")).agg(F.sum("g_a").alias("c_a"), F.sum("g_r").alias("c_r"))
+        windows = windows.withColumn("g", F.expr(f"substring(w, {ORDER + 1 - k}, {k + 1})")).withColumn("c", F.expr(f"substring(w, {ORDER + 1 - k}, {k})"))
+        windows = windows.join(checked_broadcast(grams, GRAM_BYTES), "g", "left").join(checked_broadcast(contexts, GRAM_BYTES), "c", "left")
+        chance = [((F.coalesce(f"g_{x}", F.lit(0)) + F.col(f"p_{x}") * BACK) / (F.coalesce(f"c_{x}", F.lit(0)) + BACK)).alias(f"p_{x}") for x in "ar"]
+        windows = windows.select("w", *chance)
+    windows = stored(windows.select("w", (F.log("p_r") - F.log("p_a")).alias("d")))
+    return places.join(checked_broadcast(windows, GRAM_BYTES), "w").groupBy("s").agg(F.avg("d").alias("score"))
 
 
 def judge(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS) -> DataFrame:
@@ -115,7 +107,7 @@ def judge(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS) -> DataFrame:
         .groupBy("s", "label", "open")
         .agg(F.count("*").alias("n"))
     )
-    model = stored(count_slots(strings.filter(F.col("label").isNotNull() & (fold != 0))))
+    model = stored(count_grams(strings.filter(F.col("label").isNotNull() & (fold != 0))))
     held_out = F.col("label").isNotNull() & (fold == 0)
     scored = stored(scores(strings.filter(F.col("open") | held_out).select("s").distinct(), model))
     accepted = strings.filter((F.col("label") == "allow") & (fold == 0)).join(scored, "s")

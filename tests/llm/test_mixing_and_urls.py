@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -129,3 +131,33 @@ def test_only_plain_operations(spark):
     for plan in (url_filter.judge(spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")), mixing.mix(X.frame(spark))):
         text = plan._jdf.queryExecution().toString()
         assert "Python" not in text and "Arrow" not in text
+
+
+def test_url_model_keeps_every_gram_apart(spark):
+    rng = random.Random(3)
+    alphabet = "abcdefghijklmnopqrstuvwxyz0-_/.~%é"
+    held = [("\u0002" * url_filter.ORDER + "".join(rng.choices(alphabet, k=40)) + "\u0003", rng.choice(["allow", "block"]), rng.randint(1, 3)) for _ in range(15_000)]
+    counts = {"allow": Counter(), "block": Counter()}
+    for s, label, n in held:
+        for i in range(url_filter.ORDER, len(s)):
+            for k in range(url_filter.ORDER + 1):
+                counts[label]["g", s[i - k : i + 1]] += n
+                counts[label]["c", s[i - k : i]] += n
+
+    def plain(s):
+        total = 0.0
+        for i in range(url_filter.ORDER, len(s)):
+            chance = {}
+            for label, seen in counts.items():
+                p = 1 / url_filter.ALPHABET
+                for k in range(url_filter.ORDER + 1):
+                    p = (seen["g", s[i - k : i + 1]] + p * url_filter.BACK) / (seen["c", s[i - k : i]] + url_filter.BACK)
+                chance[label] = p
+            total += math.log(chance["block"]) - math.log(chance["allow"])
+        return total / (len(s) - url_filter.ORDER)
+
+    assert sum(map(len, counts.values())) > 1 << 20
+    asked = [s for s, *_ in held[:40]] + ["\u0002" * url_filter.ORDER + "never/seen!" + "\u0003"]
+    model = url_filter.count_grams(spark.createDataFrame(held, "s string, label string, n long")).cache()
+    got = {r.s: r.score for r in url_filter.scores(spark.createDataFrame([(s,) for s in asked], "s string"), model).collect()}
+    assert got == {s: pytest.approx(plain(s), abs=1e-9) for s in asked}
