@@ -67,11 +67,33 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, as the session's Hadoop settings give it, and the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def kept_until_end(spark: SparkSession, path: str) -> None:
+    """Mark an intermediate table: its file system deletes it when the application ends."""
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back, so a lost executor costs no replay."""
+    """Write to the shared folder and read back, so a lost executor costs no replay.
+
+    The table goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    kept_until_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
