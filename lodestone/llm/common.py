@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import shared_dir
+from lodestone.session import dropped, kept_until_end, shared_dir  # noqa: F401
 
 BROADCAST_BYTES = 32 << 20
 TEXT_ROWS = 1_000
@@ -27,10 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: lost executors replay nothing before it."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    """Write to the shared folder and read back: lost executors replay nothing before it.
+
+    The table goes when the application ends.
+    """
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``stored``, with the table's path for a caller that can let go of it earlier."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept_until_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import decontaminate, exact_dedup, html_main, language_id, license_scan, mixing, pii, simhash_dedup, suffix_dedup, url_filter
+from lodestone.llm import byte_bpe, decontaminate, exact_dedup, fill_in_middle, html_main, language_id, license_scan, mixing, pii, simhash_dedup, suffix_dedup, url_filter, vector_codes
 from lodestone.llm.common import table
 
 
@@ -65,6 +66,18 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark, sf_dir):
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -82,6 +95,9 @@ QUERIES = {
         op8_exact_dedup,
         op9_simhash_dedup,
         op10_license_scan,
+        op11_vector_codes,
+        op12_fill_in_middle,
+        op13_byte_bpe,
         pipeline,
     )
 }
@@ -93,6 +109,8 @@ WITH folded AS (
   FROM documents),
 g AS (SELECT text_sha256, count(*) AS group_size, max(doc_id) AS keep_id FROM folded GROUP BY 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM folded JOIN g USING (text_sha256)""",
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL,
 }
 
 
