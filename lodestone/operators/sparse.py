@@ -31,10 +31,10 @@ def index_text(chunks: DataFrame) -> Column:
     return searchable("text", "blurb") if "blurb" in chunks.columns else F.col("text")
 
 
-def indexed(chunks: DataFrame, config: str = "english", id_col: str = "chunk_id") -> DataFrame:
-    """(tenant_id, chunk, terms): the ordered index words of each chunk; a stop word is null."""
+def indexed(chunks: DataFrame, config: str = "english", id_col: str = "chunk_id", more=()) -> DataFrame:
+    """(tenant_id, chunk, terms, more): the ordered index words of each chunk; a stop word is null."""
     return chunks.select(
-        "tenant_id", id_col, _terms(fulltext_tokens(index_text(chunks)), config).alias("terms")
+        "tenant_id", id_col, _terms(fulltext_tokens(index_text(chunks)), config).alias("terms"), *more
     )
 
 

@@ -79,6 +79,25 @@ def kept_until_end(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(place)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, hidden ones left out; none where there is no such folder."""
+    files, place = _place(spark, path)
+    if not files.exists(place):
+        return []
+    return sorted(n for n in (s.getPath().getName() for s in files.listStatus(place)) if not n.startswith(("_", ".")))
+
+
+def name_list(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Publish a folder of empty files with these names, all at once: it is made aside and renamed."""
+    files, place = _place(spark, path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f"_{uuid.uuid4().hex}")
+    files.mkdirs(aside)
+    for name in names:
+        files.create(spark._jvm.org.apache.hadoop.fs.Path(aside, name)).close()
+    if not files.rename(aside, place):
+        raise OSError(f"{path} was not published")
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     files, place = _place(spark, path)
