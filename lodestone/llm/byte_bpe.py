@@ -31,6 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lodestone.llm.common import text_or_empty
 
@@ -127,6 +128,14 @@ def _codec(vocabulary: bytes, pattern: str) -> Codec:
     return Codec(vocabulary, pattern)
 
 
+def _ids(codec: Codec, texts: pa.Array) -> pa.Array:
+    flat, offsets = array("i"), [0]
+    for text in texts:
+        flat.extend(codec.encode(text.as_py()))
+        offsets.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, np.int32)))
+
+
 class Tokenizer:
     """The column functions of one vocabulary file (lines of base64 token and rank) and its pattern."""
 
@@ -143,15 +152,21 @@ class Tokenizer:
 
         @F.arrow_udf("array<int>")
         def ids(texts: pa.Array) -> pa.Array:
-            codec = _codec(file.value, pattern)
-            flat, offsets = array("i"), [0]
-            for text in texts:
-                flat.extend(codec.encode(text.as_py()))
-                offsets.append(len(flat))
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, np.int32)))
+            return _ids(_codec(file.value, pattern), texts)
 
         return ids(text)
 
+    def encoded(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        """key, ids of each row.  The ids come from a step of their own, so uses of them do not encode again."""
+        file, pattern = self._file, self._pattern
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), _ids(_codec(file.value, pattern), batch.column(1))], [key, "ids"])
+
+        rows = docs.select(key, text_or_empty(text))
+        return rows.mapInArrow(run, StructType([rows.schema[0], StructField("ids", ArrayType(IntegerType()))]))
+
     def decode(self, ids: Column) -> Column:
         """The bytes that the ids stand for; they are UTF-8 where the ids are those of a text."""
         file, pattern = self._file, self._pattern
@@ -164,15 +179,10 @@ class Tokenizer:
         return data(ids)
 
 
-def encoded(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, ids of each row."""
-    return docs.select(key, tokenizer.encode(text_or_empty(text)).alias("ids"))
-
-
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
     tokenizer = Tokenizer(docs.sparkSession, path, pattern)
-    rows = encoded(docs, tokenizer)
+    rows = tokenizer.encoded(docs)
     rows = rows.select("doc_id", "ids", tokenizer.decode(F.col("ids")).alias("data"))
     return rows.select(
         "doc_id",
