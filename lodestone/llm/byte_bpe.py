@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from lodestone.llm.common import text_or_empty
 
@@ -136,6 +136,10 @@ def _ids(codec: Codec, texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, np.int32)))
 
 
+def _data(codec: Codec, rows: pa.Array) -> pa.Array:
+    return pa.array([None if row is None else codec.decode(row) for row in (x.as_py() for x in rows)], pa.binary())
+
+
 class Tokenizer:
     """The column functions of one vocabulary file (lines of base64 token and rank) and its pattern."""
 
@@ -156,16 +160,23 @@ class Tokenizer:
 
         return ids(text)
 
-    def encoded(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-        """key, ids of each row.  The ids come from a step of their own, so uses of them do not encode again."""
+    def round_trip(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        """key, ids of each row, and ``data``, the bytes that the ids decode to.
+
+        One step of its own: column functions over ids would hold all ids of a
+        task aside, on disk, while they are decoded.
+        """
         file, pattern = self._file, self._pattern
 
         def run(batches):
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), _ids(_codec(file.value, pattern), batch.column(1))], [key, "ids"])
+                codec = _codec(file.value, pattern)
+                ids = _ids(codec, batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, _data(codec, ids)], [key, "ids", "data"])
 
         rows = docs.select(key, text_or_empty(text))
-        return rows.mapInArrow(run, StructType([rows.schema[0], StructField("ids", ArrayType(IntegerType()))]))
+        made = [StructField("ids", ArrayType(IntegerType())), StructField("data", BinaryType())]
+        return rows.mapInArrow(run, StructType([rows.schema[0], *made]))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that the ids stand for; they are UTF-8 where the ids are those of a text."""
@@ -173,18 +184,14 @@ class Tokenizer:
 
         @F.arrow_udf("binary")
         def data(rows: pa.Array) -> pa.Array:
-            codec = _codec(file.value, pattern)
-            return pa.array([None if row is None else codec.decode(row) for row in (x.as_py() for x in rows)], pa.binary())
+            return _data(_codec(file.value, pattern), rows)
 
         return data(ids)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
-    tokenizer = Tokenizer(docs.sparkSession, path, pattern)
-    rows = tokenizer.encoded(docs)
-    rows = rows.select("doc_id", "ids", tokenizer.decode(F.col("ids")).alias("data"))
-    return rows.select(
+    return Tokenizer(docs.sparkSession, path, pattern).round_trip(docs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
