@@ -169,13 +169,16 @@ SLAB_KEYS = ["segment", "tenant_id", "slab"]
 
 
 class Search:
-    """One table of queries against one index."""
+    """One table of queries against one index.
+
+    What is looked up in the blocks is written first: a written table has a known
+    size in bytes, by which Spark broadcasts it or shuffles both sides.
+    """
 
     def __init__(self, index: Index, queries: DataFrame, scoring: str = "cover_density", source_kinds=None, k1: float = 1.2, b: float = 0.75):
         if scoring not in ("cover_density", "bm25"):
             raise ValueError(f"unknown scoring: {scoring!r}")
         self.index, self.scoring, self.k1, self.b = index, scoring, k1, b
-        # written: every later join knows its size in bytes, and parsing is done once
         self.parsed = cut_lineage(parse_queries(queries, index.config))
         self.live = index.admitted(source_kinds)
         if self.live is not None:
@@ -208,8 +211,9 @@ class Search:
         drivers = whole.filter("have = need").drop("have")
         led = drivers.join(self.light, (drivers["tenant_id"] == self.light["tenant_id"]) & (F.col("driver") == F.col("term")))
         led = self._living(led.select(*[drivers[c] for c in ("query_id", "tenant_id", "alt", "need", "n_alts")], "driver", "segment", "slab", "mask", "most"))
+        led = cut_lineage(led)
         rest = known.select(*alt_keys, "term", "uses").join(led.select(*alt_keys, "need", "n_alts", "segment", "slab", F.col("mask").alias("lead")), alt_keys)
-        each = rest.join(self.light, ["segment", "tenant_id", "slab", "term"])
+        each = cut_lineage(rest).join(self.light, ["segment", "tenant_id", "slab", "term"])
         met = (
             each.withColumn("mask", F.col("mask").bitwiseAND(F.col("lead"))).filter("mask <> 0")
             .groupBy(*alt_keys, "segment", "slab", "need", "n_alts")
@@ -231,7 +235,7 @@ class Search:
     def scored(self, slabs: DataFrame) -> DataFrame:
         """(query, tenant, segment, slab, at, score, tfs) of the matching chunks in the given slabs' masks."""
         asked = self.parsed.select("query_id", "tenant_id", F.explode(F.expr(_WORDS)).alias("term"))
-        wanted = slabs.select("query_id", *SLAB_KEYS, "mask").join(asked, ["query_id", "tenant_id"])
+        wanted = cut_lineage(slabs.select("query_id", *SLAB_KEYS, "mask").join(asked, ["query_id", "tenant_id"]))
         read = self.blocks.select(*SLAB_KEYS, "term", "postings")
         met = wanted.join(read, [*SLAB_KEYS, "term"])
         passed = F.expr("filter(postings, p -> (shiftright(mask, p.at) & 1) = 1)")

@@ -93,11 +93,12 @@ def parse_queries(queries: DataFrame, config: str = "english") -> DataFrame:
         "transform(_groups, g -> array_distinct(flatten(transform(filter(_items, x -> x.grp = g AND NOT x.neg), "
         "x -> transform(x.lex, l -> l.term)))))"
     )
+    # generators, since the optimiser would copy plain columns into the lambdas that use them
     return (
         parts.groupBy("query_id", "tenant_id")
         .agg(F.sort_array(F.collect_list(F.struct("at", "grp", "neg", "t"))).alias("_raw"))
-        .withColumn("_items", F.expr(items))
-        .withColumn("_groups", F.expr("array_sort(array_distinct(transform(_items, x -> x.grp)))"))
+        .select("query_id", "tenant_id", F.explode(F.array(F.expr(items))).alias("_items"))
+        .select("*", F.explode(F.expr("array(array_sort(array_distinct(transform(_items, x -> x.grp))))")).alias("_groups"))
         .select(
             "query_id",
             "tenant_id",

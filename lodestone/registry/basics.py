@@ -71,25 +71,15 @@ def token_count(spark, sf):
     return V.documents(spark, sf).select("doc_id", X.token_count("text").cast("long").alias("n"))
 
 
-_HEAD_SQL = r"""
-heads AS (
-  SELECT *, array_to_string(hw[1:12], ' ') || CASE WHEN len(hw) > 12 THEN '…' ELSE '' END AS head
-  FROM (SELECT *, list_filter(regexp_split_to_array(regexp_replace(
-           coalesce(list_filter(regexp_split_to_array(content, '\r\n|\n|\r'), lambda l: trim(l, chr(32) || chr(9)) <> '')[1], ''),
-           '^\s*#+', ''), '\s+'), lambda w: w <> '') AS hw FROM artifacts)
-)"""
-
-
-@query("prj_06_head", f"WITH {V.ARTIFACTS_SQL}, {_HEAD_SQL} SELECT artifact_id, head FROM heads")
+@query("prj_06_head", f"WITH {V.ARTIFACTS_SQL}, {V.HEAD_SQL} SELECT artifact_id, head FROM heads")
 def head(spark, sf):
     return V.artifacts(spark, sf).select("artifact_id", "head")
 
 
 @query(
     "prj_07_blurb",
-    f"""WITH {V.ARTIFACT_CHUNKS_SQL}, {_HEAD_SQL}
-    SELECT c.chunk_id, 'From the ' || c.kind || ' ''' || h.head || ''' (' || c.source_kind || '/' || c.external_id ||
-           CASE WHEN c.n_chunks > 1 THEN ', part ' || (c.ordinal + 1) || ' of ' || c.n_chunks ELSE '' END || ').' AS blurb
+    f"""WITH {V.ARTIFACT_CHUNKS_SQL}, {V.HEAD_SQL}
+    SELECT c.chunk_id, {V.BLURB_SQL} AS blurb
     FROM chunks c JOIN heads h USING (artifact_id)""",
 )
 def blurb(spark, sf):

@@ -11,8 +11,10 @@ from lodestone.operators import evaluation as E
 from lodestone.operators import fusion
 from lodestone.operators import sparse as S
 from lodestone.operators.embedding import hashing_vector, model_vector
+from lodestone.operators.inverted import Search
 from lodestone.plans.search import hybrid_search
 from lodestone.registry import views as V
+from lodestone.registry.english_sql import stems_sql
 
 QUERIES, SQL = {}, {}
 TOKENS = r"[\p{L}\p{N}]+"
@@ -38,12 +40,17 @@ def bare_words(tokens):
     return F.array_join(F.transform(tokens, lambda t: F.when(t == "or", '"or"').otherwise(t)), " ")
 
 
-def passage_labels(spark, sf, chunks):
+def index_search(spark, sf, asked, scoring="cover_density", source_kinds=None):
+    """Search of the stored index of plain words, as the SQL reads them."""
+    return Search(V.corpus_index(spark, sf, "simple", blurb=False), asked, scoring, source_kinds)
+
+
+def passage_labels(spark, sf):
     """(query_id, chunk_id): chunks in which the passage occurs word for word."""
     asked = V.queries(spark, sf).withColumn(
         "query", F.concat(F.lit('"'), F.array_join(X.fulltext_tokens("query"), " "), F.lit('"'))
     )
-    return S.sparse_matches(asked, chunks, config="simple").select("query_id", "chunk_id")
+    return index_search(spark, sf, asked).matches().select("query_id", "chunk_id")
 
 
 def centroids(spark, sf):
@@ -205,8 +212,7 @@ def web_queries(spark, sf):
     f"""WITH {V.CORPUS_CHUNKS_SQL}, {WORDS_SQL}, {WEB_SQL}, {COVER_SQL} SELECT query_id, chunk_id FROM ok""",
 )
 def web_query(spark, sf):
-    chunks = V.corpus_chunks(spark, sf)
-    return S.sparse_matches(web_queries(spark, sf), chunks, config="simple").select("query_id", "chunk_id")
+    return index_search(spark, sf, web_queries(spark, sf)).matches().select("query_id", "chunk_id")
 
 
 @query(
@@ -216,7 +222,7 @@ def web_query(spark, sf):
     SELECT query_id, chunk_id, rank FROM r WHERE rank <= 10""",
 )
 def rank_and_cut(spark, sf):
-    hits = S.sparse_topk(web_queries(spark, sf), V.corpus_chunks(spark, sf), 10, config="simple")
+    hits = index_search(spark, sf, web_queries(spark, sf)).topk(10)
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -225,7 +231,7 @@ def rank_and_cut(spark, sf):
     f"""WITH {V.CORPUS_CHUNKS_SQL}, {WORDS_SQL}, {WEB_SQL}, {COVER_SQL} SELECT query_id, chunk_id, round(score, 6) AS score FROM scored""",
 )
 def cover_density(spark, sf):
-    hits = S.sparse_matches(web_queries(spark, sf), V.corpus_chunks(spark, sf), config="simple")
+    hits = index_search(spark, sf, web_queries(spark, sf)).matches()
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -244,19 +250,19 @@ def cover_density(spark, sf):
 )
 def bm25(spark, sf):
     asked = web_queries(spark, sf).filter(F.col("form") == 0).withColumn("query_id", (F.col("query_id") / 10).cast("long"))
-    hits = S.sparse_matches(asked, V.corpus_chunks(spark, sf), scoring="bm25", config="simple")
+    hits = index_search(spark, sf, asked, "bm25").matches()
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("spr_02_english_terms")
+ENGLISH_SQL = stems_sql(rf"SELECT unnest(regexp_extract_all(lower(text), '{TOKENS}')) AS word FROM documents")
+
+
+@query("spr_02_english_terms", f"WITH {ENGLISH_SQL} SELECT word, stem AS term FROM stems")
 def english_terms(spark, sf):
-    """Size of the vocabulary before and after stop words and stemming, per language."""
-    docs = V.documents(spark, sf)
+    """Every word of the documents that is not a stop word, and its index term."""
     raw = X.fulltext_tokens("text")
-    pairs = docs.select("lang", F.explode(F.arrays_zip(raw.alias("raw"), S._terms(raw, "english").alias("term"))).alias("p"))
-    return pairs.groupBy("lang").agg(
-        F.countDistinct("p.raw").alias("n_words"), F.countDistinct("p.term").alias("n_terms")
-    )
+    pairs = V.documents(spark, sf).select(F.explode(F.arrays_zip(raw.alias("word"), S._terms(raw, "english").alias("term"))).alias("p"))
+    return pairs.select("p.word", "p.term").filter("term IS NOT NULL").distinct()
 
 
 # --- fusion and hybrid -------------------------------------------------------
@@ -290,10 +296,8 @@ HYBRID_SQL = f"{V.CORPUS_CHUNKS_SQL}, {WORDS_SQL}, {DENSE_SQL}, {SPARSE_SQL}, {F
 
 
 def legs(spark, sf):
-    chunks = V.embedded(V.corpus_chunks(spark, sf))
-    asked = plain_queries(spark, sf)
     raw = V.queries(spark, sf).select("query_id", "tenant_id", hashing_vector("query").alias("vector"))
-    return D.dense_topk(raw, chunks, 50), S.sparse_topk(asked, chunks, 50, config="simple")
+    return D.dense_topk(raw, V.stored_chunks(spark, sf), 50), index_search(spark, sf, plain_queries(spark, sf)).topk(50)
 
 
 @query("fus_01_rrf", f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM fused")
@@ -340,8 +344,7 @@ def rerank_pairs(spark, sf):
 
 
 def hybrid(spark, sf, k=10, **options):
-    chunks = V.embedded(V.corpus_chunks(spark, sf))
-    return hybrid_search(plain_queries(spark, sf), chunks, k, config="simple", **options)
+    return hybrid_search(plain_queries(spark, sf), V.stored_chunks(spark, sf), k, index=V.corpus_index(spark, sf, "simple", False), **options)
 
 
 @query(
@@ -366,6 +369,36 @@ def dense_mode(spark, sf):
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+# The default of search: English terms, and each chunk's blurb before its text.
+SITUATED_SQL = rf"""{V.CORPUS_CHUNKS_SQL}, {V.HEAD_SQL},
+blurbed AS (SELECT c.* EXCLUDE (text), {V.BLURB_SQL} || ' ' || c.text AS text FROM chunks c JOIN heads h USING (artifact_id)),
+{stems_sql(rf"SELECT unnest(regexp_extract_all(lower(text), '{TOKENS}')) AS word FROM blurbed UNION ALL SELECT unnest(regexp_extract_all(lower(text), '{TOKENS}')) FROM benchmark")},
+raw_words AS ({WORDS_SQL.split("words AS (", 1)[1].rstrip()[:-1].replace("FROM chunks", "FROM blurbed")}),
+words AS (SELECT chunk_id, source_kind, stem AS term, pos FROM raw_words JOIN stems ON word = term),
+asked_terms AS (SELECT DISTINCT item_id, stem FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{TOKENS}')) AS word FROM benchmark) JOIN stems USING (word))"""
+SITUATED_SPARSE_SQL = SPARSE_SQL.replace(
+    "SELECT DISTINCT item_id AS query_id, 0 AS grp, unnest(t) AS term, FALSE AS neg FROM toks", "SELECT item_id AS query_id, 0 AS grp, stem AS term, FALSE AS neg FROM asked_terms"
+)
+
+
+@query("spr_04_english_blurb", f"WITH {SITUATED_SQL}, {SITUATED_SPARSE_SQL} SELECT query_id, chunk_id, rank FROM sparse WHERE rank <= 10")
+def english_blurb(spark, sf):
+    hits = Search(V.corpus_index(spark, sf), plain_queries(spark, sf)).topk(10)
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "fus_04_hybrid_default",
+    f"""WITH {SITUATED_SQL}, {DENSE_SQL.replace("FROM chunks)", "FROM blurbed)").replace("CROSS JOIN chunks c", "CROSS JOIN blurbed c")}, {SITUATED_SPARSE_SQL}, {FUSED_SQL}
+    SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM fused WHERE rank <= 10""",
+)
+def hybrid_default(spark, sf):
+    """Search as it is by default: English index with blurbs, vectors of situated text."""
+    chunks = V.stored_chunks(spark, sf).drop("vector").withColumnRenamed("situated", "vector")
+    hits = hybrid_search(plain_queries(spark, sf), chunks, 10, index=V.corpus_index(spark, sf))
+    return hits.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # --- evaluation --------------------------------------------------------------
 
 LABELS_SQL = rf"""
@@ -399,10 +432,9 @@ EVAL_SQL = f"{HYBRID_SQL}, {LABELS_SQL}, {METRICS_SQL}"
 
 
 def evaluated(spark, sf):
-    chunks = V.embedded(V.corpus_chunks(spark, sf))
     asked = plain_queries(spark, sf)
-    hits = hybrid_search(asked, chunks, 20, config="simple")
-    return E.unlabelled(E.query_metrics(hits, passage_labels(spark, sf, chunks)), asked.select("query_id"))
+    hits = hybrid(spark, sf, 20)
+    return E.unlabelled(E.query_metrics(hits, passage_labels(spark, sf)), asked.select("query_id"))
 
 
 @query("evl_01_recall", f"WITH {EVAL_SQL} SELECT query_id, round(recall_at_5, 6) AS recall_at_5, round(recall_at_10, 6) AS recall_at_10 FROM per_query")
@@ -425,8 +457,8 @@ def ndcg(spark, sf):
     f"""WITH {V.CORPUS_CHUNKS_SQL}, {LABELS_SQL} SELECT query_id, external_id, ordinal::BIGINT AS ordinal, chunk_id FROM labels_v JOIN chunks USING (chunk_id)""",
 )
 def resolve_labels(spark, sf):
-    chunks = V.corpus_chunks(spark, sf)
-    stable = passage_labels(spark, sf, chunks).join(chunks, "chunk_id").select("query_id", "external_id", "ordinal")
+    chunks = V.stored_chunks(spark, sf)
+    stable = passage_labels(spark, sf).join(chunks, "chunk_id").select("query_id", "external_id", "ordinal")
     return E.resolve_labels(stable, chunks).select("query_id", "external_id", "ordinal", "chunk_id")
 
 
@@ -456,10 +488,9 @@ def embedder(spark, sf):
 
 def sparse_metrics(spark, sf):
     """The full-text leg alone, as a second run to compare with."""
-    chunks = V.corpus_chunks(spark, sf)
     asked = plain_queries(spark, sf)
-    hits = S.sparse_topk(asked, chunks, 20, config="simple")
-    return E.unlabelled(E.query_metrics(hits, passage_labels(spark, sf, chunks)), asked.select("query_id"))
+    hits = index_search(spark, sf, asked).topk(20)
+    return E.unlabelled(E.query_metrics(hits, passage_labels(spark, sf)), asked.select("query_id"))
 
 
 TWO_RUNS_SQL = f"""{EVAL_SQL}, found2 AS (SELECT l.query_id, l.chunk_id, s.rank FROM labels_v l LEFT JOIN (SELECT * FROM sparse WHERE rank <= 20) s USING (query_id, chunk_id)),

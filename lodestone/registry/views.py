@@ -6,6 +6,8 @@ that DuckDB runs on the same parquet files.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from lodestone.operators.blurbs import with_blurbs
 from lodestone.operators.chunking import chunk_artifacts
 from lodestone.operators.embedding import hashing_vector
 from lodestone.functions.text import embedding_text
-from lodestone.session import balanced
+from lodestone.operators.inverted import Index
+from lodestone.session import balanced, cut_lineage, kept_until_end, shared_dir
 
 EPOCH = 1704067200
 
@@ -74,6 +77,39 @@ def embedded(chunk_rows: DataFrame, blurb: bool = False) -> DataFrame:
     return chunk_rows.withColumn("vector", hashing_vector("text"))
 
 
+_STORED: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, key: tuple, make):
+    """What ``make`` writes, once in an application: as an ingest leaves it for all later queries."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus chunks as a written table, with blurbs and the vectors of plain and of situated text."""
+    rows = lambda: with_blurbs(corpus_chunks(spark, sf_dir))
+    return _once(
+        spark, ("chunks", sf_dir),
+        lambda: cut_lineage(rows().withColumns({"vector": hashing_vector("text"), "situated": hashing_vector(embedding_text("text", "blurb"))})),
+    )
+
+
+def corpus_index(spark: SparkSession, sf_dir: str, config: str = "english", blurb: bool = True) -> Index:
+    """The stored full-text index of the corpus chunks."""
+
+    def make() -> Index:
+        index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", config)
+        rows = stored_chunks(spark, sf_dir)
+        index.add(rows if blurb else rows.drop("blurb"))
+        kept_until_end(spark, index.path)
+        return index
+
+    return _once(spark, ("index", sf_dir, config, blurb), make)
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as queries of tenant t0."""
     return table(spark, sf_dir, "benchmark").select(
@@ -130,3 +166,14 @@ SELECT {key}, slot, sum(sign)::BIGINT AS value FROM (
          CASE WHEN (CAST(concat('0x', substr(md5(token), 9, 2)) AS BIGINT) & 1) = 1 THEN 1 ELSE -1 END AS sign
   FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS token FROM {source}))
 GROUP BY 1, 2 HAVING sum(sign) <> 0"""
+
+HEAD_SQL = r"""
+heads AS (
+  SELECT *, array_to_string(hw[1:12], ' ') || CASE WHEN len(hw) > 12 THEN '…' ELSE '' END AS head
+  FROM (SELECT *, list_filter(regexp_split_to_array(regexp_replace(
+           coalesce(list_filter(regexp_split_to_array(content, '\r\n|\n|\r'), lambda l: trim(l, chr(32) || chr(9)) <> '')[1], ''),
+           '^\s*#+', ''), '\s+'), lambda w: w <> '') AS hw FROM artifacts)
+)"""
+
+BLURB_SQL = """'From the ' || c.kind || ' ''' || h.head || ''' (' || c.source_kind || '/' || c.external_id ||
+           CASE WHEN c.n_chunks > 1 THEN ', part ' || (c.ordinal + 1) || ' of ' || c.n_chunks ELSE '' END || ').'"""
