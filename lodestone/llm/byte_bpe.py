@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from lodestone.llm.common import text_or_empty
 
 VOCABULARY_BYTES = 64 << 20
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 SHORT_CHARS = 48
 #: a tree of so many leaves and more is kept in packed arrays
 PACKED = 4096
@@ -63,33 +63,35 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         left, right = tree[2 * node], tree[2 * node + 1]
         tree[node] = left if left < right else right
 
-    def put(position: int, end: int) -> None:
-        """Set the leaf of a position whose pair ends at ``end``; 0 takes it out."""
-        r = rank(piece[position:end]) if end else None
-        node = leaves + position
-        tree[node] = NEVER if r is None else r * leaves + position
-        node >>= 1
-        while node:
-            left, right = tree[2 * node], tree[2 * node + 1]
-            least = left if left < right else right
-            if tree[node] == least:
-                return
-            tree[node] = least
-            node >>= 1
-
+    half = leaves >> 1
     while tree[1] != NEVER:
         at = tree[1] & (leaves - 1)
         gone = after[at]
         end = after[gone]
         after[at] = end
-        put(gone, 0)
+        tree[leaves + gone] = tree[leaves + at] = NEVER
+        changed = [gone, at]
         if end < n:
             before[end] = at
-            put(at, after[end])
-        else:
-            put(at, 0)
-        if before[at] >= 0:
-            put(before[at], end)
+            r = rank(piece[at : after[end]])
+            if r is not None:
+                tree[leaves + at] = r * leaves + at
+        ahead = before[at]
+        if ahead >= 0:
+            r = rank(piece[ahead:end])
+            tree[leaves + ahead] = NEVER if r is None else r * leaves + ahead
+            changed.append(ahead)
+        # the three leaves' ancestors, as far up as their minimum changes
+        for position in changed:
+            node = half + (position >> 1)
+            while node:
+                left, right = tree[2 * node], tree[2 * node + 1]
+                if right < left:
+                    left = right
+                if tree[node] == left:
+                    break
+                tree[node] = left
+                node >>= 1
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : after[at]]])
@@ -137,7 +139,9 @@ def _ids(codec: Codec, texts: pa.Array) -> pa.Array:
 
 
 def _data(codec: Codec, rows: pa.Array) -> pa.Array:
-    return pa.array([None if row is None else codec.decode(row) for row in (x.as_py() for x in rows)], pa.binary())
+    ids, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_pylist()
+    there = rows.is_valid().to_pylist()
+    return pa.array([codec.decode(ids[a:b].tolist()) if t else None for a, b, t in zip(ends, ends[1:], there)], pa.binary())
 
 
 class Tokenizer:
