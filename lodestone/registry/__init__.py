@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.registry import basics, knowledge, lifecycle, pipelines, retrieval
+from lodestone.registry import basics, ingested, knowledge, lifecycle, pipelines, retrieval
 
-_FAMILIES = (basics, retrieval, knowledge, lifecycle, pipelines)
+_FAMILIES = (basics, retrieval, knowledge, lifecycle, ingested, pipelines)
 
 
 def queries():

@@ -161,16 +161,7 @@ def first_state(spark, sf):
 
 def stored_state(spark, sf):
     """The first state as tables, as a deployment holds it between batches."""
-    return tuple(cut_lineage(table) for table in first_state(spark, sf))
-
-
-def second_state(spark, sf):
-    heads, versions, fresh = stored_state(spark, sf)
-    diff = cut_lineage(C.detect_changes(second(spark, sf), V.artifacts(spark, sf)).filter("change = 'change'"))
-    citing = FR.citing_processes(versions, V.chunks(spark, sf), diff.select(F.col("replaces").alias("artifact_id")))
-    fresh = FR.set_freshness(fresh, FR.stale_updates(citing), now())
-    heads2, added, updates = VR.save_processes(heads, versions, cut_lineage(extracted(chunk_artifacts(diff))))
-    return heads2, versions.unionByName(added), FR.set_freshness(fresh, updates, now())
+    return V._once(spark, ("first state", sf), lambda: tuple(cut_lineage(table) for table in first_state(spark, sf)))
 
 
 PROC_SQL = rf"""{SENT_SQL},
@@ -193,12 +184,7 @@ def new_processes(spark, sf):
     return first_state(spark, sf)[0].select("process_id", "name", "current_version", "status")
 
 
-@query(
-    "ver_02_changed_processes",
-    f"""WITH {AFTER_SQL} SELECT process_id, current_version, CASE WHEN current_version = 1 THEN 'active' ELSE 'draft' END AS status FROM after""",
-)
-def changed_processes(spark, sf):
-    return second_state(spark, sf)[0].select("process_id", "current_version", "status")
+CHANGED_SQL = f"WITH {AFTER_SQL} SELECT process_id, current_version, CASE WHEN current_version = 1 THEN 'active' ELSE 'draft' END AS status FROM after"
 
 
 @query(

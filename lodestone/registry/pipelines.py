@@ -18,6 +18,7 @@ from lodestone.session import shared_dir
 from lodestone.sources import incremental as I
 from lodestone.sources import normalize as N
 from lodestone.sources import sinks
+from lodestone.streaming import ingest as G
 from lodestone.streaming import jobs as J
 
 QUERIES, SQL = {}, {}
@@ -373,8 +374,8 @@ def ingest(spark, sf):
     base = fresh_path(spark, "ingest")
     later = events.withColumn("content", F.when(F.col("doc_id") % 10 == 0, F.concat("content", F.lit(" Changed since."))).otherwise(F.col("content")))
     for feed, rows in (("first", events), ("later", later)):
-        J.start_ingest(rows.drop("doc_id"), base, f"{base}/ckpt-{feed}", feed).awaitTermination()
-    chunks = J.live_chunks(spark, base).groupBy("artifact_id", "content_hash").agg(F.count("*").alias("n"))
+        G.start_ingest(rows.drop("doc_id"), base, f"{base}/ckpt-{feed}", feed).awaitTermination()
+    chunks = G.live_chunks(spark, base).groupBy("artifact_id", "content_hash").agg(F.count("*").alias("n"))
     stored = spark.read.parquet(f"{base}/artifacts").groupBy("artifact_id").agg(F.count("*").alias("n_stored"))
     return chunks.join(stored, "artifact_id")
 
