@@ -1,4 +1,4 @@
-"""Dense retrieval: exact cosine top-k, and approximate top-k by hyperplane buckets.
+"""Dense retrieval: exact cosine top-k, and approximate top-k by a coarse quantiser.
 
 Exact top-k needs every (query, vector) score once.  It is done as block matrix
 products inside tasks that hand on only their own best ``k`` per query:
@@ -15,6 +15,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +24,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone import fixed_values as fv
 from lodestone.functions import ids
+from lodestone.session import cut_lineage
 
 QUERY_BOUND = 4096
 QUERY_BLOCK = 2048
 CORPUS_BLOCK = 16384
-LSH_BUCKET = 512
+TRAIN_PER_CELL = 64
+CENTRE_BYTES = 256 << 20
+CALIBRATION = 256
+RECALL = 0.95
 _CELLS = 8_000_000
 
 
@@ -139,12 +145,10 @@ def _scan(queries_rows, corpus: DataFrame, k: int, id_col: str, schema) -> DataF
     return narrow.mapInArrow(run, schema)
 
 
-def blocked_topk(
-    queries: DataFrame, corpus: DataFrame, k: int, keys: list[str], id_col: str,
-    query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK,
-) -> DataFrame:
-    """Best ``k`` per query within equal ``keys``, by bounded pairs of blocks."""
-    schema = _schema(queries, corpus, "query_id", id_col)
+def blocked(queries: DataFrame, corpus: DataFrame, keys: list[str], id_col: str, meet, schema, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+    """``meet(queries, corpus)`` for every pair of bounded blocks with equal ``keys``."""
+    queries = queries.toDF(*queries.columns)  # columns of its own, since queries may come from the corpus
+    more = [c for c in queries.columns if c not in ("query_id", *keys)]
     nq = queries.groupBy(*keys).agg(F.ceil(F.count("*") / query_block).cast("int").alias("_nq"))
     nc = corpus.groupBy(*keys).agg(F.ceil(F.count("*") / corpus_block).cast("int").alias("_nc"))
     shape = nq.join(nc, keys)
@@ -156,7 +160,7 @@ def blocked_topk(
         queries.join(shape, keys)
         .withColumn("_qb", spot("query_id", "_nq"))
         .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)))
-        .select(*keys, "_qb", "_cb", "query_id", "vector")
+        .select(*keys, "_qb", "_cb", "query_id", *more)
     )
     right = (
         corpus.join(shape, keys)
@@ -165,18 +169,29 @@ def blocked_topk(
         .select(*keys, "_qb", "_cb", id_col, "vector")
     )
 
-    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        empty = pa.table({"tenant_id": q["tenant_id"][:0], "query_id": q["query_id"][:0], id_col: c[id_col][:0], "score": pa.array([], pa.float64())})
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
         if q.num_rows == 0 or c.num_rows == 0:
-            return empty
+            return pa.table([pa.array([], to_arrow_type(f.dataType)) for f in schema], names=schema.names)
+        return meet(q, c)
+
+    group = [*keys, "_qb", "_cb"]
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(run, schema)
+
+
+def blocked_topk(
+    queries: DataFrame, corpus: DataFrame, k: int, keys: list[str], id_col: str,
+    query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK,
+) -> DataFrame:
+    """Best ``k`` per query within equal ``keys``, by bounded pairs of blocks."""
+
+    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
         matrix = _matrix(q["vector"])
         pairs = _merge(None, matrix, (matrix * matrix).sum(axis=1), _flat(c[id_col]), _matrix(c["vector"]), k)
         return pa.table(
             {"tenant_id": pa.array([q["tenant_id"][0].as_py()] * pairs.num_rows, q["tenant_id"].type), "query_id": q["query_id"].take(_flat(pairs["q"])), id_col: pairs["id"], "score": pairs["score"]}
         )
 
-    group = [*keys, "_qb", "_cb"]
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, schema)
+    return blocked(queries, corpus, keys, id_col, meet, _schema(queries, corpus, "query_id", id_col), query_block, corpus_block)
 
 
 def dense_topk(
@@ -202,38 +217,155 @@ def dense_topk(
     return _ranked(pairs, k, id_col)
 
 
-def hyperplane_buckets(df: DataFrame, dim: int, tables: int = 8, bits: int = 8, seed: int = 42) -> DataFrame:
-    """One row per (row, table) with the sign pattern of random hyperplanes as bucket."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
-    weights = (1 << np.arange(bits)).astype(np.int64)
+class Cells:
+    """A coarse quantiser: cells around centres, of which a query probes the nearest.
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def buckets(vectors: pa.Array) -> pa.Array:
-        m = _matrix(vectors)
-        signs = np.einsum("nd,tbd->ntb", m, planes) > 0
-        out = (signs * weights).sum(axis=2)
-        offsets = np.arange(0, (len(m) + 1) * tables, tables, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+    The centres come from a bounded sample (TRAIN_PER_CELL rows a cell); every row
+    is put into the cell of the centre with the largest cosine.  There are about
+    as many cells as rows in a cell, so centres and cells grow with the square
+    root of the corpus; centres are sent to the tasks, and their size is checked.
+    """
 
-    return df.select("*", F.posexplode(buckets("vector")).alias("lsh_table", "bucket"))
+    def __init__(self, centres: np.ndarray):
+        if centres.nbytes > CENTRE_BYTES:
+            raise ValueError(f"{len(centres)} centres take {centres.nbytes} bytes; up to {CENTRE_BYTES} are sent to every task")
+        norms = np.linalg.norm(centres, axis=1, keepdims=True)
+        self.centres = np.divide(centres, norms, out=np.zeros_like(centres), where=norms > 0)
+
+    @classmethod
+    def fit(cls, corpus: DataFrame, id_col: str = "chunk_id", cells: int | None = None, seed: int = 42) -> Cells:
+        rows = corpus.select(id_col, F.col("vector").cast("array<double>").alias("vector")).filter(F.exists("vector", lambda x: x != 0))
+        n = rows.count()
+        if n == 0:
+            return cls(np.zeros((1, 1)))
+        k = cells or max(1, round(n**0.5))
+        share = max(1, n // (k * TRAIN_PER_CELL))
+        sample = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0)
+        model = KMeans(k=k, maxIter=10, seed=seed, distanceMeasure="cosine").fit(sample.select(array_to_vector("vector").alias("features")))
+        return cls(np.array(model.clusterCenters()))
+
+    def nearest(self, vector: str, probes: int = 1):
+        """The ``probes`` nearest cells of each vector, nearest first; ties go to the smaller number."""
+        centres, probes = self.centres, min(probes, len(self.centres))
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def cells(vectors: pa.Array) -> pa.Array:
+            if not len(vectors):
+                return pa.array([], pa.list_(pa.int32()))
+            order = np.argsort(-(_matrix(vectors) @ centres.T), axis=1, kind="stable")[:, :probes]
+            offsets = np.arange(0, (len(vectors) + 1) * probes, probes, dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(order.ravel().astype(np.int32)))
+
+        return cells(vector)
+
+
+def probes_for(cells: Cells, queries: DataFrame, corpus: DataFrame, k: int, recall: float = RECALL, id_col: str = "chunk_id") -> int:
+    """How many cells a query must probe to find ``recall`` of its true top-k.
+
+    Measured: up to CALIBRATION queries are answered exactly, and their
+    neighbours' cells are looked up in each query's order of cells.
+    """
+    n = queries.count()
+    share = max(1, n // CALIBRATION)
+    asked = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(share)) == 0) if share > 1 else queries
+    asked = cut_lineage(asked.select("tenant_id", "query_id", "vector"))
+    exact = cut_lineage(dense_topk(asked, corpus, k, id_col=id_col).select("tenant_id", "query_id", id_col))
+    at = corpus.select("tenant_id", id_col, "vector").join(exact, ["tenant_id", id_col]).select("tenant_id", "query_id", F.get(cells.nearest("vector"), F.lit(0)).alias("cell"))
+    order = asked.select("tenant_id", "query_id", cells.nearest("vector", len(cells.centres)).alias("order"))
+    place = at.join(order, ["tenant_id", "query_id"]).groupBy(F.array_position("order", F.col("cell")).cast("int").alias("p")).agg(F.count("*").alias("n"))
+    counts = sorted((r.p, r.n) for r in place.collect())  # a row for each cell at most
+    need, total = recall * sum(n for _, n in counts), 0
+    for p, n in counts:
+        total += n
+        if total >= need:
+            return p
+    return 1
 
 
 def approximate_topk(
-    queries: DataFrame, corpus: DataFrame, k: int, dim: int,
-    tables: int = 8, bits: int | None = None, seed: int = 42, id_col: str = "chunk_id",
+    queries: DataFrame, corpus: DataFrame, k: int, cells: Cells | None = None, probes: int | None = None,
+    recall: float = RECALL, id_col: str = "chunk_id",
 ) -> DataFrame:
-    """Top-k among vectors that share a bucket with the query, exactly re-scored.
+    """Top-k among the vectors of the cells that a query probes, exactly scored.
+
+    Without ``cells`` they are fitted, and without ``probes`` as many are probed
+    as reach ``recall`` on a sample of the queries.  ``dense_topk`` is the exact
+    way.  A crowded cell is cut into blocks like a large tenant.
+    """
+    cells = cells or Cells.fit(corpus, id_col)
+    probes = probes or probes_for(cells, queries, corpus, k, recall, id_col)
+    q = queries.select("query_id", "tenant_id", "vector", F.explode(cells.nearest("vector", probes)).alias("cell"))
+    c = corpus.select("tenant_id", id_col, "vector", F.get(cells.nearest("vector"), F.lit(0)).alias("cell"))
+    return _ranked(blocked_topk(q, c, k, ["tenant_id", "cell"], id_col), k, id_col)
+
 
-    Without ``bits``, as many hyperplanes are taken as keep an evenly filled
-    bucket at about ``LSH_BUCKET`` vectors, whatever the corpus size.
+def ranks_of_marks(queries: DataFrame, corpus: DataFrame, marks: DataFrame, id_col: str = "chunk_id", digits: int = 12) -> DataFrame:
+    """(tenant_id, query_id, id, rank): the rank of one corpus row per query, by counting the rows before it.
+
+    ``marks``: tenant_id, query_id, id.  Each pair of blocks counts the rows that
+    score higher (or equal, with a smaller id); the counts are summed.  Nothing is
+    sorted, and one number per query and block moves.  Scores count as equal when
+    they agree in ``digits`` decimals.
+    """
+    at = marks.join(corpus.select("tenant_id", id_col, F.col("vector").alias("_mark")), ["tenant_id", id_col])
+    asked = queries.select("query_id", "tenant_id", "vector").join(at.select("tenant_id", "query_id", F.col(id_col).alias("_id"), "_mark"), ["tenant_id", "query_id"])
+
+    def count(q: pa.Table, c: pa.Table) -> pa.Table:
+        matrix, vectors, own = _matrix(q["vector"]), _matrix(c["vector"]), _matrix(q["_mark"])
+        lengths = np.sqrt((matrix * matrix).sum(axis=1))
+        names, mark = c[id_col].to_numpy(zero_copy_only=False), q["_id"].to_numpy(zero_copy_only=False)
+
+        def cosines(dots, others):
+            scale = lengths[:, None] * np.sqrt((others * others).sum(axis=-1))
+            return np.round(np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0), digits)
+
+        level = cosines((matrix * own).sum(axis=1)[:, None], own[:, None, :])
+        before = np.zeros(len(matrix), dtype=np.int64)
+        width = max(256, _CELLS // max(1, len(matrix)))
+        for start in range(0, len(names), width):
+            block, ids_ = vectors[start : start + width], names[start : start + width]
+            scores = cosines(matrix @ block.T, block[None, :, :])
+            before += ((scores > level) | ((scores == level) & (ids_[None, :] < mark[:, None]))).sum(axis=1)
+        return pa.table({"tenant_id": q["tenant_id"], "query_id": q["query_id"], id_col: q["_id"], "before": before})
+
+    schema = T.StructType([*_schema(queries, corpus, "query_id", id_col).fields[:3], T.StructField("before", T.LongType())])
+    counts = blocked(asked, corpus, ["tenant_id"], id_col, count, schema)
+    return counts.groupBy("tenant_id", "query_id", id_col).agg((F.sum("before") + 1).alias("rank"))
+
+
+def best_marks(queries: DataFrame, corpus: DataFrame, labels: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """(tenant_id, query_id, id): of each query's relevant rows (labels: query_id, id) the best."""
+    met = queries.select("query_id", "tenant_id", F.col("vector").alias("_q")).join(labels.select("query_id", id_col).distinct(), "query_id")
+    both = met.join(corpus.select("tenant_id", id_col, "vector"), ["tenant_id", id_col])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    scale = F.sqrt(dot("_q", "_q") * dot("vector", "vector"))
+    score = F.round(F.when(scale > 0, dot("_q", "vector") / scale).otherwise(0.0), 12)
+    return both.groupBy("tenant_id", "query_id").agg(F.min(F.struct((-score).alias("s"), id_col)).alias("m")).select("tenant_id", "query_id", f"m.{id_col}")
+
+
+def full_ranking(queries: DataFrame, corpus: DataFrame, id_col: str = "chunk_id", bins: int = 4096) -> DataFrame:
+    """Every corpus row's score and rank for each query of its tenant.
+
+    Rows are ranked inside narrow bins of their score; the counts of the bins
+    above give the rest, so no task holds all rows of a query.
     """
-    bits = bits if bits is not None else max(1, (corpus.count() // LSH_BUCKET).bit_length())
-    keys = ["tenant_id", "lsh_table", "bucket"]
-    q = hyperplane_buckets(queries.select("query_id", "tenant_id", "vector"), dim, tables, bits, seed)
-    c = hyperplane_buckets(corpus.select("tenant_id", id_col, "vector"), dim, tables, bits, seed)
-    pairs = blocked_topk(q, c, k, keys, id_col)
-    once = pairs.groupBy("tenant_id", "query_id", id_col).agg(F.max("score").alias("score"))
-    return _ranked(once, k, id_col)
+    schema = _schema(queries, corpus, "query_id", id_col)
+
+    def score(q: pa.Table, c: pa.Table) -> pa.Table:
+        matrix, vectors = _matrix(q["vector"]), _matrix(c["vector"])
+        dots = matrix @ vectors.T
+        scale = np.sqrt((matrix * matrix).sum(axis=1)[:, None] * (vectors * vectors).sum(axis=1)[None, :])
+        scores = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
+        qi, ci = (pa.array(x.ravel()) for x in np.indices(scores.shape))
+        return pa.table({"tenant_id": _flat(q["tenant_id"]).take(qi), "query_id": _flat(q["query_id"]).take(qi), id_col: _flat(c[id_col]).take(ci), "score": scores.ravel()})
+
+    pairs = blocked(queries.select("query_id", "tenant_id", "vector"), corpus, ["tenant_id"], id_col, score, schema, 64)
+    pairs = pairs.withColumn("_bin", F.floor((1 - F.col("score")) * (bins / 2)))
+    keys = ["tenant_id", "query_id"]
+    above = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pairs.groupBy(*keys, "_bin").agg(F.count("*").alias("n")).withColumn("_above", F.coalesce(F.sum("n").over(above), F.lit(0))).drop("n")
+    inside = Window.partitionBy(*keys, "_bin").orderBy(F.desc("score"), F.asc(id_col))
+    return pairs.withColumn("_nth", F.row_number().over(inside)).join(counts, [*keys, "_bin"]).select(*keys, id_col, "score", (F.col("_above") + F.col("_nth")).alias("rank"))
 
 
 def recall_against(found: DataFrame, exact: DataFrame, id_col: str = "chunk_id") -> DataFrame:

@@ -102,8 +102,7 @@ def dense_topk_kinds(spark, sf):
     f"WITH {CENTROID_SQL} SELECT query_id, chunk_id, rank FROM ranked",
 )
 def full_ranking(spark, sf):
-    corpus = vectors(spark, sf)
-    hits = D.dense_topk(centroids(spark, sf), corpus, corpus.count())
+    hits = D.full_ranking(centroids(spark, sf), vectors(spark, sf))
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -128,11 +127,13 @@ def model_embedder(spark, sf):
     return docs.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
 
 
-@query("emb_05_approximate_recall")
+@query("emb_05_approximate_recall", "SELECT count(*)::BIGINT AS n_queries, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0")
 def approximate_recall(spark, sf):
-    asked, corpus = centroids(spark, sf), vectors(spark, sf)
-    near = D.approximate_topk(asked, corpus, 10, dim=64, tables=16, bits=4)
-    return D.recall_against(near, D.dense_topk(asked, corpus, 10))
+    """Every 20th vector against all vectors, as it is by default, held against the exact search."""
+    corpus = vectors(spark, sf)
+    asked = corpus.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "tenant_id", "vector")
+    reached = D.recall_against(D.approximate_topk(asked, corpus, 10), D.dense_topk(asked, corpus, 10))
+    return reached.select("n_queries", (F.col("recall") >= 0.9).alias("recall_reached"))
 
 
 @query(
@@ -479,9 +480,8 @@ def retrieval_run(spark, sf):
 def embedder(spark, sf):
     """Label centroids as queries; every vector of that label is relevant."""
     corpus = vectors(spark, sf)
-    ranked = D.dense_topk(centroids(spark, sf), corpus, corpus.count())
-    labels = corpus.select(F.col("label").cast("long").alias("query_id"), "chunk_id")
-    return E.query_metrics(ranked, labels).select(
+    asked, labels = centroids(spark, sf), corpus.select(F.col("label").cast("long").alias("query_id"), "chunk_id")
+    return E.embedder_metrics(asked, corpus, labels, 20).select(
         "query_id", F.round("mrr", 6).alias("mrr"), F.round("recall_at_20", 6).alias("recall_at_20")
     )
 
