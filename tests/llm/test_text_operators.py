@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import random
 import re
+import time
 from itertools import combinations
 
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +36,49 @@ def test_main_text():
     assert html_main.main_text("<p>" + "x, " * 300_000)[:5] == "x, x,"
 
 
+STORY = "<article><h1>T</h1>" + "".join(f"<p>Paragraph {i}, with commas, and some more text about it.</p>" for i in range(5)) + "</article>"
+TOLD = "\n".join(["T"] + [f"Paragraph {i}, with commas, and some more text about it." for i in range(5)])
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<div class='layout with-sidebar'>{}<div class='sidebar'><p>junk, junk, junk</p></div></div>",
+        "<div class='has-banner'>{}</div>", "<div class='elementor-widget'>{}</div>", "<form id='aspnetForm'>{}<input value='x'></form>",
+        "<div class='comments-open'><main>{}</main></div>", "<div>{}</div><div class='comments'>" + "<p>a long reader comment, again</p>" * 60 + "</div>",
+        "<div class='page no-sidebar'>{}<section class='related'><article><p>a teaser, short</p></article></section></div>",
+    ],
+)
+def test_layout_names_do_not_cut_the_article(around):
+    assert html_main.main_text(around.format(STORY)) == TOLD
+
+
+def test_furniture_alone_stays_cut():
+    for page in ("<div class='cookie'><p>We use cookies, many of them.</p></div>", "<form><p>name</p></form>", "<div class='comments'>" + "<p>one, two</p>" * 9 + "</div>"):
+        assert html_main.main_text(page) == ""
+
+
+def test_void_elements_do_not_cut_words():
+    assert html_main.main_text("<p>super<wbr>cali x<img>y a<br>b</p>") == "supercali xy a b"
+
+
+def test_deep_and_unclosed_markup_is_read_in_time():
+    started = time.process_time()
+    for page in ("<div>x" * 4_000, "<b>y" * 8_000, "<p><b>z" * 8_000, "<li><i>q" * 8_000):
+        assert html_main.main_text(page)
+    assert time.process_time() - started < 20
+
+
+def test_all_pages_by_a_plain_cut():
+    """The articles of the driver's pages by regular expressions."""
+    table = pyarrow.parquet.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"])
+    for page in table.column("html").to_pylist():
+        body = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", page or "", re.S)
+        blocks = re.split(r"</?(?:p|h1|h2|ul|li|div|blockquote|pre|table|tr|td)\b[^>]*>", re.sub(r"<br>", " ", body.group(1) if body else ""))
+        plain = [" ".join(html.unescape(re.sub(r"<!--.*?-->|</?[a-z][^>]*>", "", b, flags=re.S)).split()) for b in blocks]
+        assert html_main.main_text(page) == "\n".join(b for b in plain if b)
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "", "y")], "page_id long, url string, html string, text string")
     rows = {tuple(r)[:2] + (r.n_chars,) for r in html_main.extract(pages).collect()}
