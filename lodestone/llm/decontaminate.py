@@ -36,6 +36,8 @@ WINDOW = 13
 SIMILARITY = 0.8
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
 BLOCK_WORDS = 1_000_000
+#: pairs of places expanded at once, and alignments remembered of one text
+HIT_PAIRS, KNOWN_ALIGNMENTS = 1 << 20, 20_000
 PIECE = 1 << 20
 SCHEMA = "doc_id long, item_id long, first_word long, n_matched long, similarity double"
 
@@ -127,35 +129,54 @@ class Block:
             at = np.flatnonzero(self.bitmap[(s & self.low).astype(np.int64)])
             lo = np.searchsorted(self.seed, s[at])
             many = np.searchsorted(self.seed, s[at], side="right") - lo
-            if many.any():
-                where = np.repeat(at, many)
-                k = np.repeat(lo, many) + np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many)
-                found.append(np.stack((self.item[k], where - self.place[k])))
-        return np.unique(np.concatenate(found, axis=1), axis=1).T.tolist() if found else []
+            # a repeated seed meets a repeated seed in many pairs of few alignments: bounded pieces, each reduced
+            pieces = np.unique(np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + HIT_PAIRS, HIT_PAIRS), side="left"))
+            for a, b in zip(pieces, [*pieces[1:], len(at)]):
+                n, low = many[a:b], lo[a:b]
+                if n.any():
+                    where = np.repeat(at[a:b], n)
+                    k = np.repeat(low, n) + np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)
+                    found.append(np.unique((self.item[k] << 40) + (where - self.place[k] + (1 << 39))))
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return np.stack((pairs >> 40, (pairs & ((1 << 40) - 1)) - (1 << 39)), axis=1).tolist()
+
+    def _verified(self, item: int, lo: int, hi: int, aligned: np.ndarray):
+        """(first window, words matched, best similarity) of the item's words lo to hi against as many of a text."""
+        held = self.words[item]
+        size = min(WINDOW, len(held))
+        same = held[lo:hi] == aligned
+        counts = np.convolve(same, np.ones(size, np.int64), "valid")
+        good = np.flatnonzero(counts >= (size if len(held) < WINDOW else SIMILARITY * size))
+        if not len(good):
+            return None
+        covered = np.zeros(hi - lo + 1, np.int64)
+        np.add.at(covered, good, 1)
+        np.add.at(covered, good + size, -1)
+        return int(good[0]), int((same & (np.cumsum(covered[:-1]) > 0)).sum()), float(counts[good].max()) / size
 
     def matches(self, words: np.ndarray) -> list[tuple]:
         """(item_id, first matching word, words matched, best window similarity) per item."""
         best: dict[int, list] = {}
+        known: dict = {}
         for item, shift in self._hits(words):
             held = self.words[item]
-            size = min(WINDOW, len(held))
             lo, hi = max(0, -shift), min(len(held), len(words) - shift)
-            if hi - lo < size:
+            if hi - lo < min(WINDOW, len(held)):
                 continue
-            same = held[lo:hi] == words[lo + shift : hi + shift]
-            counts = np.convolve(same, np.ones(size, np.int64), "valid")
-            need = size if len(held) < WINDOW else SIMILARITY * size
-            good = np.flatnonzero(counts >= need)
-            if not len(good):
+            # a text that repeats itself shows an item the same words at many alignments: each is verified once
+            aligned = words[lo + shift : hi + shift]
+            key = (item, lo, aligned.tobytes())
+            if key not in known:
+                if len(known) >= KNOWN_ALIGNMENTS:
+                    known.clear()
+                known[key] = self._verified(item, lo, hi, aligned)
+            if known[key] is None:
                 continue
-            covered = np.zeros(hi - lo + 1, np.int64)
-            np.add.at(covered, good, 1)
-            np.add.at(covered, good + size, -1)
-            matched = int((same & (np.cumsum(covered[:-1]) > 0)).sum())
-            row = best.setdefault(item, [int(good[0]) + lo + shift, 0, 0.0])
-            row[0] = min(row[0], int(good[0]) + lo + shift)
+            first, matched, similarity = known[key]
+            row = best.setdefault(item, [first + lo + shift, 0, 0.0])
+            row[0] = min(row[0], first + lo + shift)
             row[1] = max(row[1], matched)
-            row[2] = max(row[2], float(counts[good].max()) / size)
+            row[2] = max(row[2], similarity)
         return [(self.ids[item], *row) for item, row in sorted(best.items())]
 
 

@@ -169,9 +169,14 @@ def declared_language(html):
 
 
 def identify(rows: DataFrame, names: list[str], model: Model) -> DataFrame:
-    """(key columns), lang, confidence, kept of each row of (…, text, declared, host)."""
+    """(other columns), lang, confidence, kept of each row of (…, text, declared, host).
+
+    Other columns are carried through, whatever their names; those named lang,
+    confidence or kept are replaced.
+    """
     spark = rows.sparkSession
-    keys = [c for c in rows.columns if c not in ("text", "declared", "host")]
+    # carried as one column: their names meet none of those used here
+    keys = F.struct(*[c for c in rows.columns if c not in ("text", "declared", "host", "lang", "confidence", "kept")]).alias("__row")
     size = len(names)
     shared = spark.sparkContext.broadcast(tuple(model))
 
@@ -190,7 +195,7 @@ def identify(rows: DataFrame, names: list[str], model: Model) -> DataFrame:
     host = F.lower(F.coalesce("host", F.lit("")))
     seen = stored(
         rows.select(
-            *keys,
+            keys,
             likelihoods(F.coalesce("text", F.lit(""))).alias("ll"),
             declared.alias("declared"),
             F.xxhash64(host).alias("host"),
@@ -199,7 +204,7 @@ def identify(rows: DataFrame, names: list[str], model: Model) -> DataFrame:
         )
     )
     if not size:
-        return seen.select(*keys, F.lit("und").alias("lang"), F.lit(1.0).alias("confidence"), F.lit(False).alias("kept"))
+        return seen.select("__row.*", F.lit("und").alias("lang"), F.lit(1.0).alias("confidence"), F.lit(False).alias("kept"))
     known = F.array(*[F.lit(n) for n in names])
     says = F.transform(known, lambda n: F.when(F.col("declared") == n, F.lit(DECLARED_RIGHT)).otherwise((1 - DECLARED_RIGHT) / max(1, size - 1)))
     says = F.when(F.array_contains(known, F.col("declared")), says).otherwise(F.transform(known, lambda n: F.lit(1.0)))
@@ -253,6 +258,6 @@ def identify(rows: DataFrame, names: list[str], model: Model) -> DataFrame:
     return (
         met.withColumn("score", score)
         .withColumn("best", best)
-        .select(*keys, lang.alias("lang"), F.when(silent, 1.0).otherwise(1.0 / norm).alias("confidence"))
-        .withColumn("kept", F.col("lang") != "und")
+        .select("__row", lang.alias("lang"), F.when(silent, 1.0).otherwise(1.0 / norm).alias("confidence"))
+        .select("__row.*", "lang", "confidence", (F.col("lang") != "und").alias("kept"))
     )

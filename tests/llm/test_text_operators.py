@@ -93,6 +93,22 @@ def test_masks_hit_every_window_with_two_substitutions():
         )
 
 
+def test_repeated_words_meet_repeated_words_in_time(monkeypatch):
+    """A hot seed: few alignments that differ, however often they occur; the pieces do not matter."""
+    item = " ".join(["no"] * 59)
+    block = decontaminate.Block([7, 8], [item, " ".join(f"w{i}" for i in range(30))])
+    started = time.process_time()
+    (row,) = block.matches(decontaminate.word_hashes("yes " + "no " * 100_000))
+    assert row == (7, 0, 59, 1.0) and time.process_time() - started < 20
+    draw = random.Random(2)
+    texts = [" ".join(draw.choice(["no", "no", "no", "yes"]) for _ in range(draw.randrange(90))) for _ in range(60)]
+    whole = [block.matches(decontaminate.word_hashes(t)) for t in texts]
+    monkeypatch.setattr(decontaminate, "HIT_PAIRS", 5)
+    monkeypatch.setattr(decontaminate, "KNOWN_ALIGNMENTS", 2)
+    assert [block.matches(decontaminate.word_hashes(t)) for t in texts] == whole
+    assert [bool(w) for w in whole] == [X.leaks(t, item) for t in texts] and any(whole) and not all(whole)
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(40)]
@@ -154,6 +170,21 @@ def test_language(spark):
     assert language_id.identify(frame.limit(0), names, model).collect() == []
 
 
+def test_language_of_repeated_rows_and_clashing_columns(spark):
+    rows = X.frame(spark, [r for r in X.TEXTS if r[2]] * 2)
+    names, model = language_id.fit(rows.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label")))
+    more = [F.lit("x").alias(c) for c in ("suffix", "domain", "ll", "own", "share", "says", "score", "best", "prior", "kept", "confidence", "host_sum", "p1")]
+    asked = rows.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), *more)
+    found = language_id.identify(asked, names, model)
+    plain = language_id.identify(asked.select("doc_id", "text", "declared", "host"), names, model)
+    cols = ["doc_id", "lang", "kept"]
+    assert sorted(map(str, found.select(cols).collect())) == sorted(map(str, plain.select(cols).collect()))
+    assert found.count() == rows.count() and {r.suffix for r in found.collect()} == {"x"}
+    by_id = {}
+    for r in plain.collect():
+        assert by_id.setdefault(r.doc_id, (r.lang, r.confidence)) == (r.lang, r.confidence)
+
+
 def test_host_prior_settles_silent_text(spark):
     rows = language_rows(spark) + [(700, "ok", None, "b.example.fr"), (701, "ok", None, "a.example.com")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string")
