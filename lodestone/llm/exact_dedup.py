@@ -132,8 +132,12 @@ def snapshot_filters(groups: DataFrame, shards: int) -> DataFrame:
     return _sharded(groups, shards).select("shard", "key").groupBy("shard").applyInPandas(build, FILTER_SCHEMA)
 
 
-def screened(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The batch's digests that a snapshot may hold."""
+def screened(groups: DataFrame, filters: DataFrame, shards: int, parts: int = 1) -> DataFrame:
+    """The batch's digests that a snapshot may hold.
+
+    A large batch against a small snapshot is dealt, shard by shard, into
+    ``parts``, each with a copy of the shard's filter.
+    """
 
     def probe(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = rows[["text_sha256", "n", "top_id"]]
@@ -142,10 +146,13 @@ def screened(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
         f = held.iloc[0]
         return out[may_hold(rows["key"].to_numpy(np.int64).view(np.uint64), int(f.seed), int(f.segments), int(f.width), f.slots)]
 
+    part = F.pmod(F.xxhash64("key", F.lit(parts)), F.lit(parts))
+    copies = filters.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     return (
         _sharded(groups, shards)
-        .groupBy("shard")
-        .cogroup(filters.groupBy("shard"))
+        .withColumn("part", part)
+        .groupBy("shard", "part")
+        .cogroup(copies.groupBy("shard", "part"))
         .applyInPandas(probe, "text_sha256 string, n long, top_id long")
     )
 
@@ -187,7 +194,8 @@ def dedup(docs: DataFrame, arrived) -> DataFrame:
     held = stored(grouped(rows.filter(~F.col("arrived"))))
     batch = stored(grouped(rows.filter("arrived")))
     shards = max(1, -(-held.count() // KEYS_PER_SHARD))
-    positive = screened(batch, snapshot_filters(held, shards), shards)
+    parts = max(1, -(-batch.count() // (shards * KEYS_PER_SHARD)))
+    positive = screened(batch, snapshot_filters(held, shards), shards, parts)
     pairs = stored(
         positive.select("text_sha256", F.col("top_id").alias("batch_id")).join(
             held.select("text_sha256", F.col("top_id").alias("held_id")), "text_sha256"

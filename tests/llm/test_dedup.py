@@ -42,6 +42,14 @@ def test_exact(spark, arrived):
     assert set(kept.values()) == {1}
 
 
+@pytest.mark.parametrize("arrived", ["doc_id % 2 = 1", "doc_id > 2", "doc_id < 3"])
+def test_large_batches_are_dealt_over_a_shard(spark, monkeypatch, arrived):
+    """Small shards and parts, either side the larger: the decisions stay."""
+    want = sorted(map(str, exact_dedup.dedup(X.frame(spark), F.expr(arrived)).collect()))
+    monkeypatch.setattr(exact_dedup, "KEYS_PER_SHARD", 2)
+    assert sorted(map(str, exact_dedup.dedup(X.frame(spark), F.expr(arrived)).collect())) == want
+
+
 def test_exact_bytes_decide_when_digests_meet(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     pairs = spark.createDataFrame([(X.sha("a"), 1, 2)], "text_sha256 string, batch_id long, held_id long")
