@@ -52,13 +52,15 @@ def relations(spark, sf):
 
 @query(
     "kg_03_merge_key",
-    rf"""WITH w AS (SELECT doc_id, trim(regexp_extract(text, '[^.\n]*\.?')) AS name FROM documents),
-    k AS (SELECT doc_id, regexp_replace(trim(regexp_replace(lower(regexp_replace(name, '^\s+|\s+$', '', 'g')), '^(the|a|an)\s+', ''), ' .'), '\s+', ' ', 'g') AS k FROM w)
-    SELECT doc_id, coalesce(long, k) AS merge_key FROM k LEFT JOIN {_SYN} ON short = k""",
+    rf"""WITH w AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[^.\n]+'), lambda s, i: {{'s': s, 'i': i - 1}})) AS x FROM documents),
+    k AS (SELECT doc_id, x.i AS pos, regexp_replace(trim(regexp_replace(lower(regexp_replace(x.s, '^\s+|\s+$', '', 'g')), '^(the|a|an)\s+', ''), ' .'), '\s+', ' ', 'g') AS k FROM w)
+    SELECT doc_id, pos, coalesce(long, k) AS merge_key FROM k LEFT JOIN {_SYN} ON short = k""",
 )
 def merge_key(spark, sf):
-    named = V.documents(spark, sf).withColumn("name", F.trim(F.regexp_extract("text", r"[^.\n]*\.?", 0)))
-    return named.select("doc_id", G.merge_key("name", SYNONYMS).alias("merge_key"))
+    """Every run of text between full stops and line ends, as a name."""
+    said = F.regexp_extract_all("text", F.lit(r"[^.\n]+"), F.lit(0))
+    named = V.documents(spark, sf).select("doc_id", F.posexplode(said).alias("pos", "name"))
+    return named.select("doc_id", F.col("pos").cast("long").alias("pos"), G.merge_key("name", SYNONYMS).alias("merge_key"))
 
 
 def _entity_sql(scope: str) -> str:

@@ -61,13 +61,16 @@ def detect(spark, sf):
 
 @query(
     "cdc_01_stats",
-    f"""WITH {V.ARTIFACTS_SQL}, {SECOND_SQL} SELECT tenant_id, source_kind, count(*) FILTER (new_hash <> old_hash)::BIGINT AS artifacts,
-      count(*) FILTER (new_hash = old_hash)::BIGINT AS skipped FROM next GROUP BY 1, 2""",
+    f"""WITH {V.ARTIFACTS_SQL}, {SECOND_SQL},
+    sized AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text || CASE WHEN toxic = 1 THEN '{SUFFIX}' ELSE '' END, '\\s+'), lambda w: w <> '')) AS n FROM documents LEFT JOIN labels USING (doc_id)),
+    cut AS (SELECT 'doc:' || doc_id AS external_id, CASE WHEN n = 0 THEN 0 WHEN n <= 200 THEN 1 ELSE 1 + CAST(ceil((n - 200) / 160.0) AS BIGINT) END AS n_chunks FROM sized)
+    SELECT tenant_id, source_kind, count(*) FILTER (new_hash <> old_hash)::BIGINT AS artifacts, count(*) FILTER (new_hash = old_hash)::BIGINT AS skipped,
+      coalesce(sum(n_chunks) FILTER (new_hash <> old_hash), 0)::BIGINT AS chunks FROM next JOIN cut USING (external_id) GROUP BY 1, 2""",
 )
 def stats(spark, sf):
     diff = C.detect_changes(second(spark, sf), V.artifacts(spark, sf))
     moved = diff.filter("change <> 'skip'")
-    return C.ingest_stats(diff, chunk_artifacts(moved)).select("tenant_id", "source_kind", "artifacts", "skipped")
+    return C.ingest_stats(diff, chunk_artifacts(moved)).select("tenant_id", "source_kind", "artifacts", "skipped", "chunks")
 
 
 @query(
@@ -216,12 +219,20 @@ def decisions(heads):
 
 @query(
     "ver_05_review",
-    f"WITH {PROC_SQL} SELECT process_id, CASE WHEN status = 'active' OR len(name) > 60 THEN 'active' ELSE 'deprecated' END AS status FROM heads",
+    f"""WITH {PROC_SQL} SELECT process_id, CASE WHEN status = 'active' OR len(name) > 60 THEN 'active' ELSE 'deprecated' END AS status,
+      CASE WHEN status <> 'active' AND len(name) > 60 THEN 'fresh' END AS freshness, false AS unknown FROM heads
+    UNION ALL SELECT 'no ' || process_id, NULL, NULL, true FROM heads WHERE status <> 'active'""",
 )
 def review(spark, sf):
-    heads, _, _ = first_state(spark, sf)
-    reviewed, _, _ = VR.review(heads, decisions(heads))
-    return reviewed.select("process_id", "status")
+    """The status of every process, how fresh an approval made it, and the decisions about processes that are not there."""
+    heads = stored_state(spark, sf)[0]
+    made = decisions(heads)
+    lost = made.withColumn("process_id", F.concat(F.lit("no "), "process_id"))
+    reviewed, updates, unknown = VR.review(heads, made.unionByName(lost))
+    fresh = updates.select("tenant_id", F.col("object_id").alias("process_id"), F.col("state").alias("freshness"))
+    known = reviewed.join(fresh, ["tenant_id", "process_id"], "left").select("process_id", "status", "freshness", F.lit(False).alias("unknown"))
+    none = F.lit(None).cast("string")
+    return known.unionByName(unknown.select("process_id", none.alias("status"), none.alias("freshness"), F.lit(True).alias("unknown")))
 
 
 @query("ver_06_history", f"WITH {PROC_SQL} SELECT process_id, version, n_steps FROM procs WHERE tenant_id = 'src2'")
@@ -292,41 +303,41 @@ def bodies(spark, sf):
 
 
 def tenant_queries(spark, sf):
-    """Benchmark passages asked of every tenant in turn."""
-    tenants = V.documents(spark, sf).select(F.col("source").alias("tenant_id"), (F.substring("source", 4, 4).cast("long")).alias("slot")).distinct()
-    return V.queries(spark, sf).drop("tenant_id").withColumn("slot", F.col("query_id") % 20).join(tenants, "slot").drop("slot")
+    """Every benchmark passage asked of every tenant."""
+    tenants = V.documents(spark, sf).groupBy().agg(F.collect_set("source").alias("tenants"))
+    return V.queries(spark, sf).drop("tenant_id").join(F.broadcast(tenants)).select("query_id", "query", F.explode("tenants").alias("tenant_id"))
 
 
 MATCH_SQL = rf"""{PROC_SQL},
-q AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS tenant_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9$]+'), lambda t: len(t) > 2)) AS qt FROM benchmark),
-m AS (SELECT q.query_id, h.process_id, h.name, h.artifact_id,
+q AS (SELECT item_id AS query_id, tenant_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9$]+'), lambda t: len(t) > 2)) AS qt FROM benchmark, (SELECT DISTINCT source AS tenant_id FROM documents)),
+m AS (SELECT q.query_id, q.tenant_id, h.process_id, h.name, h.artifact_id,
    len(list_intersect(qt, list_distinct(list_filter(regexp_extract_all(lower(h.name || ' Relevant when handling: ' || h.name), '[a-z0-9$]+'), lambda t: len(t) > 2)))) AS overlap
    FROM q JOIN heads h ON h.tenant_id = q.tenant_id AND h.status = 'active'),
-best AS (SELECT * FROM m WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, name) = 1)"""
+best AS (SELECT * FROM m WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY overlap DESC, name) = 1)"""
 
 
-@query("srv_03_match", f"WITH {MATCH_SQL} SELECT query_id, process_id, overlap::BIGINT AS overlap FROM best")
+@query("srv_03_match", f"WITH {MATCH_SQL} SELECT query_id, tenant_id, process_id, overlap::BIGINT AS overlap FROM best")
 def match(spark, sf):
     heads, _, _ = first_state(spark, sf)
-    return S.match_processes(tenant_queries(spark, sf), heads).select("query_id", "process_id", "overlap")
+    return S.match_processes(tenant_queries(spark, sf), heads).select("query_id", "tenant_id", "process_id", "overlap")
 
 
 @query(
     "srv_04_ask",
     f"""WITH {MATCH_SQL}, a AS (SELECT artifact_id, md5(string_agg(s, chr(10) ORDER BY ordinal)) AS answer, count(*) AS n FROM steps GROUP BY 1)
-    SELECT q.query_id, a.answer, a.n::BIGINT AS n_citations, 'process:' || b.process_id || '@v1' AS used
-    FROM q LEFT JOIN best b USING (query_id) LEFT JOIN a USING (artifact_id)""",
+    SELECT q.query_id, q.tenant_id, a.answer, a.n::BIGINT AS n_citations, 'process:' || b.process_id || '@v1' AS used
+    FROM q LEFT JOIN best b USING (query_id, tenant_id) LEFT JOIN a USING (artifact_id)""",
 )
 def ask(spark, sf):
     """Every question; the answer of those grounded in a process, null where the hits answer."""
     from lodestone.plans.search import hybrid_search
 
     asked = tenant_queries(spark, sf)
-    hits = hybrid_search(asked, V.embedded(V.chunks(spark, sf)), 8)
+    hits = hybrid_search(asked, V.tenant_chunks(spark, sf), 8, index=V.tenant_index(spark, sf))
     out = S.ask(asked, hits, S.process_bodies(*stored_state(spark, sf)))
     grounded = F.size("used_processes") > 0
     return out.select(
-        "query_id", F.when(grounded, F.md5("answer")).alias("answer"), F.when(grounded, F.size("citations")).cast("long").alias("n_citations"), F.get("used_processes", F.lit(0)).alias("used")
+        "query_id", "tenant_id", F.when(grounded, F.md5("answer")).alias("answer"), F.when(grounded, F.size("citations")).cast("long").alias("n_citations"), F.get("used_processes", F.lit(0)).alias("used")
     )
 
 
@@ -349,8 +360,8 @@ def manifest(spark, sf):
 
 def priced_skills(spark, sf):
     """Skills whose steps state a limit: customers by nation, limits from their balances."""
-    rows = V.table(spark, sf, "customer").filter("c_acctbal > 0")
-    amount = F.floor("c_acctbal").cast("string")
+    rows = V.table(spark, sf, "customer")
+    amount = F.floor(F.abs("c_acctbal")).cast("string")
     action = F.concat(F.when(F.col("c_custkey") % 2 == 0, "Refund over $").otherwise("Refund up to $"), amount)
     steps = F.array(F.struct(action.alias("action"), F.lit(None).cast("string").alias("actor"), F.lit(None).cast("string").alias("decision"),
                              F.array(F.struct(F.col("c_name").alias("chunk_id"), F.lit(None).cast("string").alias("quote"))).alias("citations")))
@@ -358,8 +369,8 @@ def priced_skills(spark, sf):
 
 
 ROUTE_SQL = """
-sk AS (SELECT c_nationkey::VARCHAR AS tenant_id, 'refund ' || c_name AS name, floor(c_acctbal) AS lim, c_custkey % 2 = 0 AS over,
-   CASE WHEN c_custkey % 2 = 0 THEN 'Refund over $' ELSE 'Refund up to $' END || floor(c_acctbal)::BIGINT AS action FROM customer WHERE c_acctbal > 0),
+sk AS (SELECT c_nationkey::VARCHAR AS tenant_id, 'refund ' || c_name AS name, floor(abs(c_acctbal)) AS lim, c_custkey % 2 = 0 AS over,
+   CASE WHEN c_custkey % 2 = 0 THEN 'Refund over $' ELSE 'Refund up to $' END || floor(abs(c_acctbal))::BIGINT AS action FROM customer),
 tk AS (SELECT s_suppkey AS task_id, s_nationkey::VARCHAR AS tenant_id, s_acctbal::DOUBLE AS amount FROM supplier),
 r AS (SELECT tk.task_id, min_by(action, name) AS decision FROM tk JOIN sk ON sk.tenant_id = tk.tenant_id AND CASE WHEN over THEN amount > lim ELSE amount <= lim END GROUP BY 1)"""
 

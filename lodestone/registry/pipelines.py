@@ -173,16 +173,19 @@ def poll(spark, sf):
 
 @query(
     "src_08_change_events",
-    r"""SELECT doc_id, regexp_replace(text, '[^\.]', '', 'g') <> '' AS accepted FROM documents""",
+    r"""SELECT doc_id, 'doc' AS kind, md5(text) AS content, true AS accepted FROM documents WHERE doc_id % 7 > 1
+    UNION ALL SELECT doc_id, 'doc', md5(CASE doc_id % 7 WHEN 0 THEN ' ' || chr(10) ELSE text END), false FROM documents WHERE doc_id % 7 <= 1""",
 )
 def change_events(spark, sf):
-    """Documents as events whose content is only their full stops; some have none."""
+    """Documents as events with their whole text; some have a blank text, others a blank id."""
+    seventh = F.col("doc_id") % 7
     rows = V.documents(spark, sf).select(
-        "doc_id", F.lit("file").alias("source_kind"), F.col("doc_id").cast("string").alias("external_id"), F.lit(None).cast("string").alias("kind"),
-        F.regexp_replace("text", r"[^\.]", "").alias("content"),
+        "doc_id", F.lit("file").alias("source_kind"), F.when(seventh == 1, "\t").otherwise(F.col("doc_id").cast("string")).alias("external_id"),
+        F.lit(None).cast("string").alias("kind"), F.when(seventh == 0, " \n").otherwise(F.col("text")).alias("content"),
     )
     good, bad = I.valid_events(rows)
-    return good.select("doc_id", F.lit(True).alias("accepted")).unionByName(bad.select("doc_id", F.lit(False).alias("accepted")))
+    seen = lambda part, ok: part.select("doc_id", "kind", F.md5("content").alias("content"), F.lit(ok).alias("accepted"))
+    return seen(good, True).unionByName(seen(bad, False))
 
 
 @query(

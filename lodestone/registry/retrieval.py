@@ -40,6 +40,14 @@ def bare_words(tokens):
     return F.array_join(F.transform(tokens, lambda t: F.when(t == "or", '"or"').otherwise(t)), " ")
 
 
+def short_questions(spark, sf):
+    """The first six telling words of every tenth chunk, as questions."""
+    from lodestone.operators.training import synthetic_queries
+
+    made = synthetic_queries(V.stored_chunks(spark, sf)).filter(F.pmod(F.xxhash64("chunk_id"), F.lit(10)) == 0)
+    return made.select(F.xxhash64("chunk_id").alias("query_id"), F.lit("t0").alias("tenant_id"), bare_words(F.split("query", " ")).alias("query"))
+
+
 def index_search(spark, sf, asked, scoring="cover_density", source_kinds=None):
     """Search of the stored index of plain words, as the SQL reads them."""
     return Search(V.corpus_index(spark, sf, "simple", blurb=False), asked, scoring, source_kinds)

@@ -110,6 +110,21 @@ def corpus_index(spark: SparkSession, sf_dir: str, config: str = "english", blur
     return _once(spark, ("index", sf_dir, config, blurb), make)
 
 
+def tenant_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with one tenant per source, as a written table, with blurbs and vectors of situated text."""
+    return _once(spark, ("tenant chunks", sf_dir), lambda: cut_lineage(embedded(chunks(spark, sf_dir), blurb=True)))
+
+
+def tenant_index(spark: SparkSession, sf_dir: str) -> Index:
+    def make() -> Index:
+        index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+        index.add(tenant_chunks(spark, sf_dir))
+        kept_until_end(spark, index.path)
+        return index
+
+    return _once(spark, ("tenant index", sf_dir), make)
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as queries of tenant t0."""
     return table(spark, sf_dir, "benchmark").select(

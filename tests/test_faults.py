@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import random
 
 import pytest
@@ -87,10 +89,37 @@ def test_mail_parts(spark):
         nest = f'{{"mimeType": "multipart/mixed", "parts": [{html}, {nest}]}}'
     mails = [plain, html, nest, "{}", "not json", None, '{"mimeType": "text/plain"}', '{"mimeType": "multipart/mixed", "parts": [%s, %s]}' % (plain, plain)]
     df = spark.createDataFrame([(i, m) for i, m in enumerate(mails)], "i int, payload string")
-    got = [r.t for r in df.select("i", N.mime_text("payload").alias("t")).orderBy("i").collect()]
+    got = [r._text for r in N.mime_text(df).orderBy("i").collect()]
     assert got == ["hé", "<b>", "hé", "", "", "", "", "hé\nhé"]
 
 
+def plain_walk(part, mime):
+    """Outermost parts of a type, depth first."""
+    if part.get("mimeType") == mime:
+        return base64.urlsafe_b64decode(part.get("body", {}).get("data", "")).decode()
+    return "\n".join(filter(None, (plain_walk(p, mime) for p in part.get("parts", []))))
+
+
+def test_mail_parts_of_any_depth_in_the_order_of_the_message(spark):
+    draw = random.Random(3)
+
+    def tree(depth):
+        kind = draw.choice(["text/plain", "text/html", "multipart/mixed", "message/rfc822"]) if depth else "multipart/mixed"
+        part = {"mimeType": kind, "body": {"data": base64.urlsafe_b64encode(f"{kind} {draw.random()} é?>".encode()).decode()}}
+        if depth < 14 and (kind[0] == "m" or draw.random() < 0.3):
+            part["parts"] = [tree(depth + 1) for _ in range(draw.choice([1, 1, 2]))]
+        return part
+
+    deep = {"mimeType": "text/plain", "body": {"data": "ZGVlcA=="}}
+    for _ in range(25):
+        deep = {"mimeType": "multipart/mixed", "parts": [deep]}
+    trees = [deep, *(tree(0) for _ in range(40))]
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)], "i int, payload string")
+    got = {r.i: r._text for r in N.mime_text(df).collect()}
+    assert got == {i: plain_walk(t, "text/plain") or plain_walk(t, "text/html") for i, t in enumerate(trees)} and got[0] == "deep"
+    assert len({len(t) for t in got.values()}) > 10
+
+
 def test_reports_name_every_metric(spark):
     deltas = spark.createDataFrame([("mrr", 0.5, 0.1), ("recall_at_5", 0.25, None)], "metric string, value double, delta double")
     worst = spark.createDataFrame([("why", 0.0, 1)], "query string, mrr double, rank int")

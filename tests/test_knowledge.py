@@ -1,5 +1,7 @@
 """Default lexicon, cues, gates, versions and plug-ins on small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,28 @@ def test_routing(spark):
     assert got == {1: ("cfo", ""), 2: ("agent", ""), 3: (None, "nothing handles tasks of type other"), 4: (None, "the tenant has no skill about refund")}
 
 
+def test_routing_is_the_first_applying_step_of_all(spark):
+    """The stairs against every task met with every step."""
+    draw = random.Random(8)
+    cite = [("c", None)]
+    texts = ["Refunds over ${}", "Refunds up to ${}", "Refund under ${:.2f}", "Refunds of ${} happen", "No amount"]
+    rows, every = [], []
+    for t in "tuv":
+        for k in range(60):
+            steps = [(draw.choice(texts).format(draw.randrange(0, 900)), None, None, draw.choice([cite, cite, []])) for _ in range(draw.randrange(4))]
+            name = f"refund {draw.randrange(10**6):06d}"
+            rows.append((t, name, "x", steps))
+            every += [(t, name, n, s[0]) for n, s in enumerate(steps) if s[3]]
+    skills = spark.createDataFrame(rows, "tenant_id string, name string, trigger string, steps array<struct<action:string,actor:string,decision:string,citations:array<struct<chunk_id:string,quote:string>>>>")
+    asked = [(i, draw.choice("tuvw"), "refund", float(draw.choice([draw.randrange(-5, 910), draw.random() * 900]))) for i in range(400)]
+    tasks = spark.createDataFrame(asked, "task_id int, tenant_id string, type string, amount_usd double")
+    steps = spark.createDataFrame(every, "tenant_id string, skill string, _no int, action string")
+    pairs = tasks.join(steps, "tenant_id").filter(F.expr(S.step_applies("action", "amount_usd")))
+    want = {r.task_id: r.action for r in pairs.groupBy("task_id").agg(F.min_by("action", F.struct("skill", "_no")).alias("action")).collect()}
+    got = {r.task_id: r.decision for r in S.route_tasks(tasks, skills).filter("completed").collect()}
+    assert got == want and len(set(got.values())) > 10
+
+
 def test_gate_canary(spark):
     poor = spark.createDataFrame([("recall_at_10", 0.1), ("mrr", 0.0)], "metric string, value double")
     row = E.gate(poor, "blocking").collect()[0]
