@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import graph as G
 from lodestone.operators import process as P
+from lodestone.operators.phrases import Phrases
 from lodestone.registry import views as V
 
 QUERIES, SQL = {}, {}
@@ -44,9 +46,57 @@ def entities(spark, sf):
     return cands(spark, sf).groupBy("chunk_id", "name", "type").agg(F.count("*").alias("n"))
 
 
-@query("kg_02_relations")
+# Every run of one to three words of the benchmark passages is a phrase; longer ones come first.
+LEXICON_SQL = r"""
+bw AS (SELECT item_id, unnest(list_transform(w, lambda t, i: {'t': t, 'p': i})) AS x, w FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark)),
+lexicon AS (SELECT name, type, row_number() OVER (ORDER BY type DESC, name) AS priority FROM (
+  SELECT DISTINCT array_to_string(w[x.p:x.p + k - 1], ' ') AS name, 'words ' || k AS type FROM bw, range(1, 4) r(k) WHERE x.p + k - 1 <= len(w)))"""
+PLACES_SQL = rf"""{V.ARTIFACT_CHUNKS_SQL}, {LEXICON_SQL},
+runs AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS r FROM chunks),
+spots AS (SELECT chunk_id, unnest(range(1, len(r) + 1)) AS i, r FROM runs),
+placed AS (SELECT chunk_id, i, len(array_to_string(r[1:i - 1], '')) AS s, unnest([1, 2, 3]) AS k, r FROM spots WHERE regexp_matches(r[i], '^[\p{{L}}\p{{N}}_]')),
+cand AS (SELECT chunk_id, priority, s, s + len(name) AS e, name, type FROM (SELECT *, array_to_string(r[i:i + 2 * k - 2], '') AS name FROM placed WHERE i + 2 * k - 2 <= len(r)) JOIN lexicon USING (name)
+  WHERE type = 'words ' || k),
+folded AS (SELECT chunk_id, list_reduce(list([{{'priority': priority, 's': s, 'e': e, 'name': name, 'type': type}}] ORDER BY priority, s),
+  lambda a, x: CASE WHEN len(list_filter(a, lambda o: x[1].s < o.e AND o.s < x[1].e)) > 0 THEN a ELSE list_concat(a, x) END) AS kept FROM cand GROUP BY 1),
+ents AS (SELECT chunk_id, unnest(kept) AS k FROM folded)"""
+
+
+def phrase_lexicon(spark, sf):
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    words = V.table(spark, sf, "benchmark").select(runs.alias("w"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k")).filter("size(w) >= k")
+    rows = words.select(F.concat(F.lit("words "), F.col("k")).alias("type"), F.explode(F.expr("transform(sequence(1, size(w) - k + 1), p -> array_join(slice(w, p, k), ' '))")).alias("name"))
+    order = Window.orderBy(F.desc("type"), "name")
+    return rows.distinct().withColumn("priority", F.row_number().over(order))
+
+
+@query("kg_01_phrases", f"WITH {PLACES_SQL} SELECT chunk_id, k.s::BIGINT AS start, k.name AS name, k.type AS type FROM ents")
+def phrases(spark, sf):
+    """Every phrase of the benchmark in every chunk, longer ones first, with offsets."""
+    found = Phrases(phrase_lexicon(spark, sf)).entities(V.chunks(spark, sf))
+    return found.select("chunk_id", F.col("start").cast("long").alias("start"), "name", "type")
+
+
+RELATIONS_SQL = rf"""{V.ARTIFACT_CHUNKS_SQL}, lex AS (SELECT * FROM {_LEX}),
+low AS (SELECT chunk_id, lower(text) AS t FROM chunks),
+runs AS (SELECT chunk_id, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS r FROM low),
+ents AS (SELECT chunk_id, len(array_to_string(r[1:i - 1], '')) AS s, lex.name FROM (SELECT chunk_id, r, unnest(range(1, len(r) + 1)) AS i FROM runs) JOIN lex ON r[i] = lex.name),
+said AS (""" + " UNION ALL ".join(
+    rf"""SELECT chunk_id, '{p}' AS predicate, sum(len(w.gap) + len(w.cue)) OVER (PARTITION BY chunk_id ORDER BY w.i) - len(w.cue) AS start, w.obj AS obj FROM (
+  SELECT chunk_id, unnest(list_transform(regexp_extract_all(t, '{c}'), lambda m, i: {{'i': i, 'cue': m, 'obj': trim(regexp_extract_all(t, '{c}', 1)[i]), 'gap': regexp_split_to_array(t, '{c}')[i]}})) AS w FROM low)"""
+    for p, c in (("with", CUES[0]), ("from", CUES[1]))
+) + r"""),
+known AS (SELECT chunk_id, predicate, start, min_by(lex.name, priority) AS object FROM said JOIN lex ON contains(obj, lex.name) OR contains(lex.name, obj) GROUP BY ALL)"""
+
+
+@query(
+    "kg_02_relations",
+    f"""WITH {RELATIONS_SQL}, r AS (SELECT k.chunk_id, k.predicate, k.start, k.object, max_by(e.name, e.s) AS subject FROM known k JOIN ents e ON e.chunk_id = k.chunk_id AND e.s < k.start AND e.name <> k.object GROUP BY ALL)
+    SELECT subject, predicate, object, count(*)::BIGINT AS n FROM r GROUP BY 1, 2, 3""",
+)
 def relations(spark, sf):
-    found = G.extract_relations(V.chunks(spark, sf), LEXICON, [(CUES[0], "with"), (CUES[1], "from")])
+    lexicon = spark.createDataFrame([(n, t, i) for i, (n, t) in enumerate(LEXICON)], "name string, type string, priority int")
+    found = Phrases(lexicon).relations(V.chunks(spark, sf), [(CUES[0], "with"), (CUES[1], "from")])
     return found.groupBy("subject", "predicate", "object").agg(F.count("*").alias("n"))
 
 

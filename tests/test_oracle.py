@@ -13,9 +13,6 @@ NAMES = sorted(registry.queries())
 #: Queries that plain SQL cannot tell, and what tests them instead.
 WITHOUT_SQL = {
     "emb_02_model_embedder": "a stand-in model; test_search",
-    "emb_05_approximate_recall": "reports its own recall against the exact search",
-    "spr_02_english_terms": "the stemmer; test_search",
-    "kg_02_relations": "cue patterns; test_knowledge",
     "kg_05_similar_names": "an ordered fold; test_faults against plain Python",
     "ver_04_contradictions": "test_knowledge",
     "evl_10_step_precision_recall": "test_knowledge",
