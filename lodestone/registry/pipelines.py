@@ -16,6 +16,7 @@ from lodestone.registry import retrieval as RT
 from lodestone.registry import views as V
 from lodestone.session import shared_dir
 from lodestone.sources import incremental as I
+from lodestone.sources import fixtures as FX
 from lodestone.sources import normalize as N
 from lodestone.sources import sinks
 from lodestone.streaming import ingest as G
@@ -390,7 +391,11 @@ def changed_only(spark, sf):
     return J.drain(J.changed_only(events), "changed").select("artifact_key", "content_hash", "change")
 
 
-@query("str_03_expiring")
+@query(
+    "str_03_expiring",
+    """WITH d AS (SELECT event_id, epoch_us(ts) // 1000 + 3600000 * (1 + event_id % 24) AS due_ms FROM events)
+    SELECT event_id::VARCHAR AS object_id, 'expired' AS state, due_ms FROM d WHERE due_ms <= (SELECT max(epoch_us(ts) // 1000) FROM events)""",
+)
 def expiring(spark, sf):
     rows = stream(spark, sf, "events").select(
         F.col("event_id").cast("string").alias("object_id"), F.col("ts").cast("timestamp").alias("validated_at"), (F.lit(3600) * (1 + F.col("event_id") % 24)).alias("ttl_seconds")
@@ -405,6 +410,20 @@ def admitted(spark, sf):
     return out.select("event_id", "allowed", F.round("retry_after", 3).alias("retry_after"))
 
 
+@query(
+    "src_09_fixture_corpus",
+    """SELECT 'sample' AS source_kind, 'doc:' || doc_id AS external_id, CASE WHEN doc_id % 3 = 0 THEN 'doc' ELSE lang END AS kind, md5(text) AS content, 1767225600 AS created_s
+    FROM documents WHERE doc_id % 5 > 0""",
+)
+def fixture_corpus(spark, sf):
+    """All documents as a fixture of JSON lines; a fifth of the lines has no id, a third no kind."""
+    path = fresh_path(spark, "fixture")
+    key = F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    V.documents(spark, sf).select(key.alias("external_id"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("kind"), F.col("text").alias("content")).write.json(path)
+    rows = N.normalize("sample", items=FX.fixture_items(spark, path, "t0"))
+    return rows.select("source_kind", "external_id", "kind", F.md5("content").alias("content"), F.unix_timestamp("created_at").cast("int").alias("created_s"))
+
+
 # --- golden sets, example files and sinks ------------------------------------------
 
 

@@ -18,6 +18,7 @@ from lodestone.operators import freshness as FR
 from lodestone.operators import graph as G
 from lodestone.operators import replies as R
 from lodestone.operators.fusion import reciprocal_rank_fusion
+from lodestone.sources import fixtures as FX
 from lodestone.sources import incremental as I
 from lodestone.sources import normalize as N
 from lodestone.sources import sinks
@@ -120,6 +121,14 @@ def test_mail_parts_of_any_depth_in_the_order_of_the_message(spark):
     assert len({len(t) for t in got.values()}) > 10
 
 
+def test_the_packaged_fixture_is_stable_and_normalises(spark):
+    items = FX.packaged_items(spark, "t")
+    rows = N.normalize("sample", items=items).collect()
+    assert len({r.external_id for r in rows}) == len(rows) == 8 and {r.source_kind for r in rows} == {"sample"}
+    assert {r.kind for r in rows} == {"page", "doc", "issue", "pr", "message", "email"} and {str(r.created_at) for r in rows} == {"2026-01-01 00:00:00"}
+    assert FX.poll_items(items).isEmpty()
+
+
 def test_reports_name_every_metric(spark):
     deltas = spark.createDataFrame([("mrr", 0.5, 0.1), ("recall_at_5", 0.25, None)], "metric string, value double, delta double")
     worst = spark.createDataFrame([("why", 0.0, 1)], "query string, mrr double, rank int")

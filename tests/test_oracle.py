@@ -17,7 +17,6 @@ WITHOUT_SQL = {
     "ver_04_contradictions": "test_knowledge",
     "evl_10_step_precision_recall": "test_knowledge",
     "evl_11_actor_accuracy": "test_knowledge",
-    "str_03_expiring": "timers of a stream",
 }
 
 
