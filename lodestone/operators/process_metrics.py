@@ -8,27 +8,28 @@ from pyspark.sql import functions as F
 from lodestone import fixed_values as fv
 from lodestone.functions.text import coverage, salient
 from lodestone.operators.process import step_coverage
+from lodestone.session import broadcast_if_small
 
 
 def best_process(golden: DataFrame, processes: DataFrame) -> DataFrame:
     """Per golden row the first process, by name, that contains the needle.
 
     ``golden`` (golden_id, tenant_id, name_contains, steps, actors) is a
-    hand-made set, so it is the broadcast side of the containment join.
+    hand-made set, and is broadcast where it is counted to be small.
     """
     named = F.contains(F.lower("name"), F.lower("name_contains"))
-    pairs = golden.select("golden_id", F.col("tenant_id").alias("_t"), "name_contains").join(
-        processes.select("tenant_id", "name", F.col("steps").alias("found_steps")),
-        (F.col("tenant_id") == F.col("_t")) & named,
-    )
-    first = pairs.groupBy("golden_id").agg(F.min_by("found_steps", "name").alias("found_steps"))
-    return golden.join(first, "golden_id", "left").withColumn(
+    needles = broadcast_if_small(golden.select("golden_id", F.col("tenant_id").alias("_t"), "name_contains"))
+    pairs = processes.select("tenant_id", "name").join(needles, (F.col("tenant_id") == F.col("_t")) & named)
+    # names alone are compared; the steps of the chosen ones are fetched after
+    first = pairs.groupBy("golden_id", "tenant_id").agg(F.min("name").alias("name"))
+    found = first.join(processes.groupBy("tenant_id", "name").agg(F.min("steps").alias("found_steps")), ["tenant_id", "name"])
+    return golden.join(found.select("golden_id", "found_steps"), "golden_id", "left").withColumn(
         "found_steps", F.coalesce("found_steps", F.expr("slice(found_steps, 1, 0)"))
     )
 
 
 def step_precision_recall(golden: DataFrame, processes: DataFrame, threshold: float = fv.MATCH_THRESHOLD) -> DataFrame:
-    """Micro-averaged (precision, recall) over the golden rows."""
+    """Micro-averaged (precision, recall) over the golden rows, and how many steps were wanted and found."""
     phrases = F.transform("steps", lambda p: salient(p))
     actions = F.coalesce(F.transform("found_steps", lambda s: salient(s["action"])), F.array().cast("array<array<string>>"))
     tokens = best_process(golden, processes).select(phrases.alias("p"), actions.alias("a"))
@@ -45,6 +46,8 @@ def step_precision_recall(golden: DataFrame, processes: DataFrame, threshold: fl
     return sums.select(
         F.when(F.col("et") > 0, F.col("eh") / F.col("et")).otherwise(0.0).alias("precision"),
         F.when(F.col("gt") > 0, F.col("gh") / F.col("gt")).otherwise(0.0).alias("recall"),
+        "gt",
+        "et",
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone import fixed_values as fv
 from lodestone.functions import ids
 from lodestone.operators import changes as C
 from lodestone.operators import freshness as FR
@@ -395,16 +396,36 @@ def grounded(spark, sf):
 
 
 def golden(spark, sf):
-    """Each passage's first sentence as expected step; the needle is its first word."""
+    """Each passage's sentences as expected steps, asked of every tenant; the needle is its longest word."""
+    words = F.regexp_extract_all(F.lower("query"), F.lit("[a-z]+"), F.lit(0))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     return tenant_queries(spark, sf).select(
-        F.col("query_id").alias("golden_id"), "tenant_id", F.regexp_extract("query", r"^(\w+)", 1).alias("name_contains"),
-        F.array(F.regexp_extract("query", r"^([^.]*)", 1)).alias("steps"), F.array(F.lit("that")).alias("actors"),
+        F.concat_ws("|", "query_id", "tenant_id").alias("golden_id"), "tenant_id", F.substring(longest, 1, 4).alias("name_contains"),
+        F.regexp_extract_all("query", F.lit("[^.]+"), F.lit(0)).alias("steps"), F.array(F.lit("that")).alias("actors"),
     )
 
 
-@query("evl_10_step_precision_recall")
+_STOP = "[" + ",".join(f"'{w}'" for w in fv.FAITH_STOPWORDS) + "]"
+_SALIENT = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9$]+'), lambda t: len(t) > 1 AND NOT list_contains(" + _STOP + ", t)))"
+
+
+@query(
+    "evl_10_step_precision_recall",
+    rf"""WITH {PROC_SQL},
+    g AS (SELECT item_id, tenant_id, regexp_extract_all(text, '[^.]+') AS said,
+      left(list_max(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: {{'n': len(w), 'w': w}})).w, 4) AS needle FROM benchmark, (SELECT DISTINCT source AS tenant_id FROM documents)),
+    pick AS (SELECT item_id, g.tenant_id, min_by(h.artifact_id, h.name) AS artifact_id FROM g JOIN heads h ON h.tenant_id = g.tenant_id AND contains(lower(h.name), g.needle) GROUP BY 1, 2),
+    acts AS (SELECT artifact_id, list({_SALIENT.format("s")}) AS a FROM steps GROUP BY 1),
+    pairs AS (SELECT list_transform(said, lambda p: {_SALIENT.format("p")}) AS p, coalesce(a, []) AS a FROM g LEFT JOIN pick USING (item_id, tenant_id) LEFT JOIN acts USING (artifact_id)),
+    hits AS (SELECT len(p) AS gt, len(a) AS et,
+      len(list_filter(p, lambda x: len(list_filter(a, lambda y: len(x) = 0 OR len(list_intersect(x, y)) / len(x) >= {fv.MATCH_THRESHOLD})) > 0)) AS gh,
+      len(list_filter(a, lambda x: len(list_filter(p, lambda y: len(y) = 0 OR len(list_intersect(y, x)) / len(y) >= {fv.MATCH_THRESHOLD})) > 0)) AS eh FROM pairs)
+    SELECT round(sum(eh) / sum(et), 6) AS precision, round(sum(gh) / sum(gt), 6) AS recall, sum(et)::BIGINT AS n_steps FROM hits""",
+)
 def precision_recall(spark, sf):
-    return step_precision_recall(golden(spark, sf), S.process_bodies(*stored_state(spark, sf)))
+    bodies_now = S.process_bodies(*stored_state(spark, sf))
+    rates = step_precision_recall(golden(spark, sf), bodies_now)
+    return rates.select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.col("et").cast("long").alias("n_steps"))
 
 
 @query("evl_11_actor_accuracy")

@@ -15,7 +15,6 @@ WITHOUT_SQL = {
     "emb_02_model_embedder": "a stand-in model; test_search",
     "kg_05_similar_names": "an ordered fold; test_faults against plain Python",
     "ver_04_contradictions": "test_knowledge",
-    "evl_10_step_precision_recall": "test_knowledge",
     "evl_11_actor_accuracy": "test_knowledge",
 }
 
