@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import graph as G
+from lodestone.operators import neighbours as NB
 from lodestone.operators import process as P
 from lodestone.operators.phrases import Phrases
 from lodestone.registry import views as V
@@ -186,6 +187,60 @@ def edges(spark, sf):
     return out.select("source_chunk_id", "subject_id", "object_id")
 
 
+# --- around the graph --------------------------------------------------------
+
+
+@query(
+    "kg_09_neighbourhood",
+    f"""WITH RECURSIVE {MENTIONS_SQL},
+    e AS (SELECT DISTINCT tenant_id, 'name:' || name AS a, artifact_id AS b FROM cand),
+    u AS (SELECT tenant_id, a, b FROM e UNION SELECT tenant_id, b, a FROM e),
+    reach AS (SELECT DISTINCT tenant_id, a AS seed, a AS node, 0 AS hop FROM e
+      UNION SELECT r.tenant_id, r.seed, u.b, r.hop + 1 FROM reach r JOIN u ON u.tenant_id = r.tenant_id AND u.a = r.node WHERE r.hop < 2)
+    SELECT tenant_id, seed, node, min(hop) AS hop FROM reach GROUP BY 1, 2, 3""",
+)
+def neighbourhood(spark, sf):
+    """Artifacts that name each entity, and the other entities that these name."""
+    said = cands(spark, sf).select("tenant_id", F.concat(F.lit("name:"), "name").alias("source"), F.col("artifact_id").alias("target"))
+    return NB.neighbourhood(said, said.select("tenant_id", F.col("source").alias("node")), 2, hub_edges=50)
+
+
+def told(spark, sf):
+    """Who said what kind of thing when: each event replaces the last one of its user."""
+    return V.table(spark, sf, "events").select(F.col("user_id"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("asserted_at"))
+
+
+VALID_SQL = """
+once AS (SELECT user_id, ts, max({'e': event_id, 't': event_type}) AS r FROM events GROUP BY 1, 2),
+valid AS (SELECT user_id, r.e AS event_id, r.t AS event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS valid_to FROM once)"""
+
+
+@query(
+    "kg_10_as_of",
+    f"""WITH {VALID_SQL}, m AS (SELECT user_id, event_id AS moment_id, ts + INTERVAL 1 HOUR AS moment FROM events WHERE event_type = 'purchase')
+    SELECT moment_id, event_id, event_type FROM m JOIN valid USING (user_id) WHERE valid_from <= moment AND (valid_to IS NULL OR moment < valid_to)""",
+)
+def as_of(spark, sf):
+    """What held of each user an hour after each purchase."""
+    said = told(spark, sf)
+    edges = NB.with_validity(said, ["user_id"])
+    moments = said.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("moment_id"), (F.col("asserted_at") + F.expr("INTERVAL 1 HOUR")).alias("moment"))
+    return NB.as_of(edges, moments, ["user_id"], 3600).select("moment_id", "event_id", "event_type")
+
+
+@query(
+    "kg_11_overlaps",
+    """WITH v AS (SELECT event_id, user_id, event_type, ts AS f, ts + (1 + event_id % 90) * INTERVAL 1 HOUR AS t FROM events)
+    SELECT a.event_id AS edge_id, max_by(b.event_id, (b.t, b.event_id)) AS other FROM v a JOIN v b ON a.user_id = b.user_id AND a.event_type = b.event_type
+      AND (b.f, b.event_id) < (a.f, a.event_id) AND b.t > a.f GROUP BY 1""",
+)
+def overlapping(spark, sf):
+    """Statements of one kind about one user that begin before an earlier one has ended."""
+    end = F.col("asserted_at") + F.make_dt_interval(hours=(1 + F.col("event_id") % 90).cast("int"))
+    edges = told(spark, sf).select("user_id", "event_type", F.col("event_id").alias("edge_id"), F.col("asserted_at").alias("valid_from"), end.alias("valid_to"))
+    return NB.overlaps(edges, ["user_id", "event_type"], "edge_id").select("edge_id", "other")
+
+
 # --- processes ---------------------------------------------------------------
 
 _STOPS = "[" + ",".join(f"'{w}'" for w in X.fv.FAITH_STOPWORDS) + "]"
