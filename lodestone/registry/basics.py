@@ -10,6 +10,7 @@ from lodestone.operators import chunking as C
 from lodestone.operators.artifacts import canonical
 from lodestone.operators.blurbs import with_blurbs
 from lodestone.operators.embedding import sparse_counts
+from lodestone.operators.inverted import BLOCKS
 from lodestone.operators.sparse import build_postings
 from lodestone.registry import views as V
 
@@ -313,11 +314,24 @@ def hashing_relation(spark, sf):
     "spr_01_postings",
     f"""WITH {V.ARTIFACT_CHUNKS_SQL},
     tok AS (SELECT tenant_id, chunk_id, unnest(list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda t, i: {{'t': t, 'p': i - 1}})) AS x FROM chunks)
-    SELECT tenant_id, x.t AS term, chunk_id, count(*)::BIGINT AS tf, min(x.p)::BIGINT AS first_pos, max(x.p)::BIGINT AS last_pos FROM tok GROUP BY 1, 2, 3""",
+    SELECT tenant_id, x.t AS term, chunk_id, count(*)::BIGINT AS tf, string_agg(x.p::VARCHAR, ' ' ORDER BY x.p) AS positions FROM tok GROUP BY 1, 2, 3""",
 )
 def postings(spark, sf):
     return build_postings(V.chunks(spark, sf), "simple").select(
-        "tenant_id", "term", "chunk_id", "tf",
-        F.element_at("positions", 1).cast("long").alias("first_pos"),
-        F.element_at("positions", -1).cast("long").alias("last_pos"),
-    )
+        "tenant_id", "term", "chunk_id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions")
+    )
+
+
+@query(
+    "spr_01_stored_blocks",
+    f"""WITH {V.CORPUS_CHUNKS_SQL},
+    tok AS (SELECT chunk_id, unnest(list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda t, i: {{'t': t, 'p': i - 1}})) AS x FROM chunks)
+    SELECT x.t AS term, chunk_id, string_agg(x.p::VARCHAR, ' ' ORDER BY x.p) AS positions, true AS in_slab FROM tok GROUP BY 1, 2""",
+)
+def stored_blocks(spark, sf):
+    """Every posting as it lies in the stored index, its mask agreeing with its list, named by its chunk."""
+    index = V.corpus_index(spark, sf, "simple", blurb=False)
+    keys = ["segment", "tenant_id", "slab"]
+    rows = index._read("blocks", BLOCKS).select(*keys, "term", "mask", F.explode("postings").alias("p")).select(*keys, "term", "mask", "p.at", "p.positions")
+    named = rows.join(index.docs().select(*keys, "at", F.col("id").alias("chunk_id")), [*keys, "at"])
+    return named.select("term", "chunk_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"), F.expr("(shiftright(mask, at) & 1) = 1").alias("in_slab"))
