@@ -9,7 +9,7 @@ from lodestone.functions import text as X
 from lodestone.operators import chunking as C
 from lodestone.operators.artifacts import canonical
 from lodestone.operators.blurbs import with_blurbs
-from lodestone.operators.embedding import sparse_counts
+from lodestone.operators.embedding import sparse_counts, unit_vector
 from lodestone.operators.inverted import BLOCKS
 from lodestone.operators.sparse import build_postings
 from lodestone.registry import views as V
@@ -106,17 +106,17 @@ _STOP = "['the','of','de','and','la']"
 @query(
     "prj_11_tokenisers",
     f"""SELECT doc_id,
-      len(regexp_extract_all(lower(text), '[a-z0-9]+'))::BIGINT AS n_hash,
-      len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9$]+'), lambda t: len(t) > 1 AND NOT list_contains({_STOP}, t))))::BIGINT AS n_salient,
-      len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9$]+'), lambda t: len(t) > 2)))::BIGINT AS n_match
+      md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS hash_tokens,
+      md5(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9$]+'), lambda t: len(t) > 1 AND NOT list_contains({_STOP}, t)))), ' ')) AS salient,
+      md5(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9$]+'), lambda t: len(t) > 2))), ' ')) AS match_tokens
     FROM documents""",
 )
 def tokenisers(spark, sf):
     return V.documents(spark, sf).select(
         "doc_id",
-        F.size(X.hash_tokens("text")).cast("long").alias("n_hash"),
-        F.size(X.salient("text", ["the", "of", "de", "and", "la"])).cast("long").alias("n_salient"),
-        F.size(X.match_tokens("text")).cast("long").alias("n_match"),
+        F.md5(F.array_join(X.hash_tokens("text"), " ")).alias("hash_tokens"),
+        F.md5(F.array_join(F.array_sort(X.salient("text", ["the", "of", "de", "and", "la"])), " ")).alias("salient"),
+        F.md5(F.array_join(F.array_sort(X.match_tokens("text")), " ")).alias("match_tokens"),
     )
 
 
@@ -302,6 +302,17 @@ def hashing(spark, sf):
     )
 
 
+@query(
+    "emb_01_unit_vectors",
+    f"""WITH {V.CORPUS_CHUNKS_SQL}, s AS ({V.SLOTS_SQL.format(key='chunk_id', text='text', source='chunks')}), n AS (SELECT chunk_id, sqrt(sum(value * value)::DOUBLE) AS n FROM s GROUP BY 1)
+    SELECT chunk_id, slot, round(value / n, 6) AS value FROM s JOIN n USING (chunk_id)""",
+)
+def unit_vectors(spark, sf):
+    """The hashing embedder's vectors at unit length."""
+    rows = V.stored_chunks(spark, sf).select("chunk_id", F.posexplode(unit_vector("vector")).alias("slot", "value"))
+    return rows.filter("value <> 0").select("chunk_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
+
+
 @query(
     "emb_01_hashing_relation",
     f"{V.SLOTS_SQL.format(key='doc_id', text='text', source='documents')}",

@@ -219,6 +219,20 @@ def replies(spark, sf):
     return R.reply_entities(c.withColumn("reply", reply), ["c_custkey"]).select("c_custkey", "name", "type")
 
 
+@query(
+    "prj_10_reply_relations",
+    """SELECT c_custkey, c_name AS subject, CASE WHEN c_custkey % 2 = 0 THEN 'buys' ELSE 'likes' END AS predicate, c_mktsegment AS object FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 3 <> 0""",
+)
+def reply_relations(spark, sf):
+    """Customers as relations in model replies: aliased keys, a missing object, broken JSON."""
+    c = V.table(spark, sf, "customer")
+    target = F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment"))
+    plain = F.to_json(F.struct(F.array(F.struct(F.col("c_name").alias("subject"), F.lit("buys").alias("predicate"), target.alias("object"))).alias("relations")))
+    alias = F.concat(F.lit("Here:\n```json\n"), F.to_json(F.struct(F.array(F.struct(F.col("c_name").alias("source"), F.lit("likes").alias("relation"), target.alias("target"))).alias("relations"))), F.lit("\n```"))
+    reply = F.when(F.col("c_custkey") % 5 == 0, F.concat(plain, F.lit("}{"))).when(F.col("c_custkey") % 2 == 0, plain).otherwise(alias)
+    return R.reply_relations(c.withColumn("reply", reply), ["c_custkey"]).select("c_custkey", "subject", "predicate", "object")
+
+
 # --- training data ---------------------------------------------------------------
 
 _QSTOP = "[" + ",".join(f"'{w}'" for w in X.fv.QUERY_STOPWORDS) + "]"
@@ -328,6 +342,20 @@ def dead_letters(spark, sf):
     return letters.select("user_id", "tries", F.col("payload").alias("last_event"))
 
 
+@query(
+    "flw_03_requeue",
+    """WITH l AS (SELECT user_id, max(event_id)::BIGINT AS payload, max(ts) AS failed_at FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 5)
+    SELECT payload, row_number() OVER (ORDER BY failed_at, payload) <= 100 AS listed FROM l""",
+)
+def requeue(spark, sf):
+    """The payloads of all dead letters to run again; listed are the hundred that failed first."""
+    log = V.table(spark, sf, "events").filter("event_type = 'error'").withColumn("failed", F.lit(True))
+    letters = FL.dead_letters(log, "user_id", "failed", "ts", "event_id", "props")
+    again, _ = FL.requeue(letters)
+    first = FL.list_dead_letters(letters).select("payload", F.lit(True).alias("listed"))
+    return again.join(first, "payload", "left").select("payload", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
 @query(
     "flw_04_lanes",
     """SELECT user_id::VARCHAR AS external_id, arg_max(event_id, (CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END, event_id))::BIGINT AS seq FROM events GROUP BY 1""",
