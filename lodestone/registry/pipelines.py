@@ -463,7 +463,7 @@ def fixture_corpus(spark, sf):
 def retrieval_golden(spark, sf):
     """Passages with the chunks that quote them, written as lines (one blank, some without a split), read and cut to a split."""
     chunks = V.corpus_chunks(spark, sf)
-    found = RT.passage_labels(spark, sf, chunks).join(chunks, "chunk_id")
+    found = RT.passage_labels(spark, sf).join(chunks, "chunk_id")
     pair = F.array("external_id", F.col("ordinal").cast("string"))
     rows = found.groupBy("query_id").agg(F.collect_list(pair).alias("relevant"))
     split = F.when(F.col("query_id") % 3 == 0, "train").when(F.col("query_id") % 3 == 1, "test")
