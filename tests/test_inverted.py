@@ -119,3 +119,15 @@ def test_texts_are_not_read_and_light_columns_come_first(spark, small_slabs):
     index.add(spark.createDataFrame(texts(50, 7), CHUNKS))
     plan = I.Search(index, asked(spark)).candidates()._jdf.queryExecution().executedPlan().toString()
     assert "postings" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_words_move_as_whole_texts(spark, monkeypatch):
+    """An occurrence is no row of its own on its way into a block; stop words and empty texts only take places."""
+    kept = {}
+    monkeypatch.setattr(I.Index, "_write", lambda self, segment, docs, blocks, gone: kept.update(blocks=blocks))
+    monkeypatch.setattr(I.Index, "_publish", lambda self, segments: None)
+    rows = [("t", "c1", "the red fox the red", "a", "d"), ("t", "c2", "", "a", "d"), (None, "c3", "the", "a", "d"), ("t", "c4", "Red", "a", "d")]
+    new_index(spark, "english").add(spark.createDataFrame(rows, CHUNKS))
+    assert "Generate" not in kept["blocks"]._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.tenant_id, r.term): (r.mask, r.most, [(p["at"], p["positions"]) for p in r.postings]) for r in I._nested(kept["blocks"]).collect()}
+    assert got == {("t", "red"): (0b101, 2, [(0, [1, 4]), (2, [0])]), ("t", "fox"): (0b1, 1, [(0, [2])])}
