@@ -90,3 +90,12 @@ def test_dense_plan_has_no_cartesian(spark):
     for bound in (1, 100):
         plan = D.dense_topk(q, c, 2, query_bound=bound)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_unit_vector_computes_its_norm_once(spark):
+    """The norm stands outside of the step over the components."""
+    from lodestone.operators.embedding import unit_vector
+
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>").select(unit_vector("v").alias("u"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    assert [r.u for r in rows.collect()] == [[0.6, 0.8], [0.0, 0.0]]
