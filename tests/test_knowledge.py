@@ -128,3 +128,14 @@ def test_gate_canary(spark):
     row = E.gate(poor, "blocking").collect()[0]
     assert not row.passed and row.failures == ["recall_at_10 0.1000 < threshold 0.8500"]
     assert E.gate(poor, "advisory").collect()[0].passed
+
+
+def test_old_steps_are_read_once_a_pair(spark):
+    """The words of the old steps are bound outside of the step over the new ones."""
+    from lodestone.operators import versions as VR
+
+    step = lambda i, who: (i, f"sign the form {i}", who, [], None)
+    rows = spark.createDataFrame([([step(1, "a"), step(2, "a")], [step(1, "b"), step(2, "a")])], f"old_steps {VR.STEPS}, new_steps {VR.STEPS}").repartition(2)
+    judged = VR.contradictions(rows).select("summary")
+    assert "array(transform(old_steps" in judged._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.summary for r in judged.collect()] == ["actor: 'a' -> 'b'"]
