@@ -56,3 +56,35 @@ def test_an_empty_lexicon_finds_nothing(spark):
     chunks = spark.createDataFrame([("t", "a", "c", "text")], CHUNKS)
     empty = Phrases(table(spark, LEXICON).filter(F.lit(False)))
     assert empty.entities(chunks).isEmpty() and empty.relations(chunks, CUES).isEmpty()
+
+
+def test_only_settled_places_leave_the_worker(spark):
+    chunks = spark.createDataFrame([("t", "a", "c", "the red fox den")], CHUNKS)
+    found = Phrases(table(spark, LEXICON), block_bytes=1).entities(chunks)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and [r.name for r in found.collect()] == ["red fox"]
+
+
+def test_phrases_of_any_signs_and_of_equal_hash(spark):
+    morse = "a"
+    for _ in range(11):  # 2048 letters: this and its mirror have one polynomial hash modulo 2**64, whatever the base
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    mirror = morse.translate(str.maketrans("ab", "ba"))
+    lexicon = [("c++", "a"), ("a\nb", "b"), (morse, "c"), ("+x", "d"), ("c + d", "e"), ("a", "f"), ("b", "f"), ("b!", "g")]
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices(["c++", "C++x", "a\nb", "a", "b", "b!", "+x", "c + d", morse, mirror, "\U0001f600", "+"], k=draw.randrange(12))) for _ in range(120)]
+    texts += ["a", "b", "a", "", "b", mirror, morse, "c++", "c+", "c++"]  # no phrase runs from one text into the next
+    chunks = spark.createDataFrame([("t", "a", f"c{i}", t) for i, t in enumerate(texts)], CHUNKS)
+    got = {}
+    for r in Phrases(table(spark, lexicon), 1 << 10).entities(chunks).collect():
+        got.setdefault(r.chunk_id, []).append((r.start, r.name))
+    word = lambda c: c.isalnum() or c == "_"
+    for i, text in enumerate(texts):
+        low, kept = text.lower(), []
+        for name, _ in lexicon:
+            for s in range(len(low)):
+                e = s + len(name)
+                if low.startswith(name, s) and word(low[s]) and (s == 0 or not word(low[s - 1])) and (e == len(low) or not word(low[e])):
+                    if all(s >= oe or os >= e for os, oe in kept):
+                        kept.append((s, e))
+        assert sorted(got.get(f"c{i}", [])) == sorted((s, low[s:e]) for s, e in kept)
